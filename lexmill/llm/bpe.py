@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, words
+from .common import Shared, slices, words
 
 #: What counts as white space (as escapes of a character class), and the contractions that are pieces.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -199,7 +199,7 @@ class Model:
         """Ids of all texts, one after the other, and the n + 1 offsets of the texts in them."""
         chunks, codes, offsets = words(texts)
         chunks = chunks.to_pylist()
-        if len(self.known) + len(chunks) > KNOWN:
+        if len(self.known) > KNOWN:
             self.forget()
         row = list(map(self.known.get, chunks))
         new = [i for i, k in enumerate(row) if k is None]
@@ -255,12 +255,12 @@ OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sh
 
 def encode(df: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with the outputs named, of OUTPUTS: ids, their number, the text decoded from them, and digests of both."""
-    model = df.sparkSession.sparkContext.broadcast(Model(path))
+    model = Shared(df.sparkSession, Model(path))
     kept = [f for f in df.schema.fields if f.name not in outputs and (keep_text or f.name != text)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{o} {OUTPUTS[o]}" for o in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = model.open()
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in slices(batches, text, 3 << 20):
             ids, at = m.encode(b.column(text))
@@ -280,13 +280,14 @@ def encode(df: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_token
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text that its array of ids decodes to (null for null)."""
-    model = df.sparkSession.sparkContext.broadcast(Model(path))
+    model = Shared(df.sparkSession, Model(path))
     kept = [f for f in df.schema.fields if f.name != out]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{out} string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.open()
         for b in batches:
-            texts = [None if x is None else model.value.decode(x) for x in b.column(ids).to_pylist()]
+            texts = [None if x is None else m.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(texts, pa.string())], [*[f.name for f in kept], out])
 
     return df.mapInArrow(run, schema)

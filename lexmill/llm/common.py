@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Python works on slices of about so many bytes of text, whatever the size of Spark's batches.
@@ -39,6 +41,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+class Shared:
+    """An object of this package, sent once to each executor; open() gives a task its copy."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def open(self):
+        return pickle.loads(self.sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +76,7 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int) -> D
         low = one if low is None else low | one
     if low is None:
         return df.limit(0)
-    w = F.row_number().over(__import__("pyspark").sql.Window.partitionBy(stratum).orderBy("_h", key))
+    w = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
     return df.filter(low).withColumn("_h", h).withColumn("_r", w).filter(F.col("_r") <= per_stratum).drop("_h", "_r")
 
 

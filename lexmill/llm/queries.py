@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, rules
-from .common import table
+from . import bpe, langid, rules
+from .common import remainder, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +23,16 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
+def held_out(n: int, rest: int) -> F.Column:
+    return F.coalesce(remainder("doc_id", n) == rest, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
+    return langid.predict(docs.select("doc_id", "text").withColumn("held_out", held_out(4, 2)), model, keep_text=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
