@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, rules
+from . import bpe, langid, rules, toxicity
 from .common import remainder, table
 
 
@@ -27,6 +27,12 @@ def held_out(n: int, rest: int) -> F.Column:
     return F.coalesce(remainder("doc_id", n) == rest, F.lit(False))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(remainder("doc_id", 3) != 1))
+    return toxicity.predict(docs.select("doc_id", "text").withColumn("held_out", held_out(3, 1)), model, keep_text=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
