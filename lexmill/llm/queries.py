@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, rules, toxicity
+from . import bpe, langid, quality, rules, toxicity
 from .common import remainder, table
 
 
@@ -18,6 +18,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
+    return toxicity.predict(docs.select("doc_id", "text").withColumn("held_out", held_out(4, 2)), model, keep_text=False)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
