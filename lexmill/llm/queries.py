@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, rules, toxicity
-from .common import remainder, table
+from . import bpe, langid, mixing, quality, rules, toxicity
+from .common import cut, remainder, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -39,6 +39,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs.select("doc_id", "text").withColumn("held_out", held_out(3, 1)), model, keep_text=False)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = cut(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "sizes")
+    return mixing.Plan(sized).taken(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
