@@ -192,9 +192,10 @@ def kernel(units: Units, pick: np.ndarray, tables: np.ndarray) -> np.ndarray:
     out = np.zeros((len(pick), tables.shape[1]))
     for at, rows in units.rows(pick):
         norm = np.maximum(norms(rows), 1e-12)
-        for s in range(0, len(rows), 256):
-            key, w = subsequences(rows[s : s + 256])
-            out[at[s : s + 256]] = np.einsum("nct,c->nt", tables[key], w) / norm[s : s + 256, None]
+        step = max(1, 4_000_000 // (len(triples(rows.shape[1])[0]) * tables.shape[1]))
+        for s in range(0, len(rows), step):
+            key, w = subsequences(rows[s : s + step])
+            out[at[s : s + step]] = np.einsum("nct,c->nt", tables[key], w.astype(np.float32)) / norm[s : s + step, None]
     return out
 
 
@@ -250,32 +251,29 @@ class Model:
         bad = [of[t] for t in np.flatnonzero(labels)]
         good_all = np.unique(np.concatenate([of[t] for t in np.flatnonzero(~labels)]))
         # a unit's lift: the log likelihood ratio of that of its pieces which sets toxic documents most apart
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        grams = {}
-        for group, side in ((bad, 0), ([of[t] for t in np.flatnonzero(~labels)], 1)):
+        piece, begin, count = piece_ids(units)
+        seen = np.zeros((2, int(piece.max(initial=0)) + 1), np.int64)
+        for side, group in enumerate((bad, [of[t] for t in np.flatnonzero(~labels)])):
             for own in group:
-                found = set()
-                for u in own.tolist():
-                    if u not in grams:
-                        b = bytes(units.flat[units.start[u] : units.start[u] + units.length[u]])
-                        grams[u] = {b[:i] for i in range(5, min(len(b), 10) + 1)} | {b[i : i + n] for n in (4, 6) for i in range(len(b) - n + 1)} | {b}
-                    found |= grams[u]
-                seen[side].update(found)
-        sizes = len(bad), int((~labels).sum())
-        ratio = {g: likelihood_ratio(k, seen[1][g], *sizes) for g, k in seen[0].items()}
-        lift = lambda u: max((ratio[g] for g in grams[u]), default=0.0)
+                seen[side, np.unique(piece[ranges(begin[own], count[own])])] += 1
+        ratio = likelihood_ratio(seen[0], seen[1], len(bad), int((~labels).sum()))
+        by_unit = np.zeros(len(units.start))
+        filled = count > 0
+        by_unit[filled] = np.maximum.reduceat(ratio[piece], begin[filled])
+        del piece
         witness = []
         for own in bad:
             if len(own):
-                lifts = np.array([lift(u) for u in own.tolist()])
-                witness.append(own[lifts >= 0.95 * lifts.max()][:8])
+                witness.append(own[by_unit[own] >= 0.95 * by_unit[own].max()][:8])
         # distinct strings among units, as windows of different chunks may be equal
         name = lambda u: bytes(units.flat[units.start[u] : units.start[u] + units.length[u]])
-        innocent = {name(u) for u in good_all.tolist()}
         order = np.array(sorted(good_all.tolist(), key=lambda u: (hash_name(name(u)), u)))
         good = order[:8000]
         hard = order[:32]
-        common = Counter(name(u) for t in np.flatnonzero(~labels) for u in of[t].tolist())
+        common = Counter()
+        for t in np.flatnonzero(~labels):
+            common.update(map(name, of[t].tolist()))
+        innocent = common.keys()
         often = np.ones(len(units.start))
         often[good_all] = np.sqrt([common[name(u)] for u in good_all.tolist()])
         for step in range(rounds):
@@ -351,13 +349,37 @@ class Model:
         return 1 / (1 + np.exp(np.clip(-(self.slope * (top - self.cut) + np.log(0.7 / 0.3)), -50, 50)))
 
 
-def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
+def piece_ids(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the pieces of all units, one unit after the other, where each begins and how many it has. Pieces are beginnings
+    of 5 to 10 letters, whole units, and runs of 4 and of 6 letters."""
+    parts, owners = [], []
+    for at, rows in units.rows(np.arange(len(units.start))):
+        n, found = rows.shape[1], []
+        runs = [(0, k) for k in {*range(5, min(n, 10) + 1), n}] + [(i, k) for k in (4, 6) for i in range(n - k + 1)]
+        for i, k in dict.fromkeys(runs):
+            h = np.full(len(rows), k, np.uint64)
+            for c in rows[:, i : i + k].T:
+                h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(31)
+            found.append(h)
+        parts.append(np.stack(found, axis=1).ravel())
+        owners.append(np.repeat(at.astype(np.int32), len(found)))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner, h = np.concatenate(owners), np.concatenate(parts)
+    ids = np.unique(h, return_inverse=True)[1].astype(np.int32)
+    count = np.bincount(owner, minlength=len(units.start))
+    return ids[np.argsort(owner, kind="stable")], np.cumsum(count) - count, count
+
+
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     """Of a in n against b in m, where a is more frequent (else 0)."""
-    if a * m <= b * n:
-        return 0.0
-    part = lambda k, size, p: (k * np.log(p) if k else 0.0) + ((size - k) * np.log(1 - p) if size > k else 0.0)
-    p = (a + b) / (n + m)
-    return float(part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log = lambda k, p: np.where(k > 0, k * np.log(p), 0.0)
+        part = lambda k, size, p: log(k, p) + log(size - k, 1 - p)
+        p = (a + b) / (n + m)
+        found = part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p)
+    return np.where(a * m > b * n, found, 0.0)
 
 
 def inserted(unit: bytes, n: int = 4) -> list[bytes]:
@@ -371,7 +393,7 @@ def hash_name(b: bytes) -> int:
     return zlib.crc32(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = 1500) -> Model:
     """Learns from the texts of labelled documents."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, (F.col(label) == 1).alias("_label"))
     sample = bounded_sample(known, key, "_label", documents)
