@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, rules, topk, toxicity, urlfilter, warc
+from . import bpe, jaccard, langid, mixing, quality, rules, topk, toxicity, urlfilter, warc
 from .common import cut, remainder, table
 
 
@@ -44,6 +44,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Plan(sized).taken(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_of")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
