@@ -103,11 +103,11 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text and with the columns of STATS."""
+def with_stats(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """df with the columns of STATS, by default without its text."""
     own = {x.split()[0] for x in STATS.split(", ")}
     df = df.select(*[c for c in df.columns if c not in own or c == text])
-    rest = [f for f in df.schema.fields if f.name != text]
+    rest = [f for f in df.schema.fields if keep_text or f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +153,8 @@ def thresholds(stats: DataFrame, reach: float, least: int) -> DataFrame:
     return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, chosen)).alias(f"max_{m}") for m, *_ in MEASURES])
 
 
-def judge(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
-    """df's columns without text, STATS, the limits of the row's group, base_failed and kept."""
-    stats = cut(with_stats(df), "stats")
-    limits = cut(thresholds(stats, reach, least), "limits")
+def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """stats with the limits of each row's group, base_failed and kept."""
     other = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in limits.columns if c.startswith("max_")])
     joined = stats.drop(*[c for c in limits.columns if c.startswith("max_")]).join(small(other), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -164,3 +162,20 @@ def judge(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
     for m, a, b, _ in MEASURES:
         within &= share(a, b) <= F.coalesce(F.col(f"max_{m}"), F.lit(float("inf")))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
+
+
+def judge(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
+    """df's columns without text, STATS, the limits of the row's group, base_failed and kept."""
+    stats = cut(with_stats(df), "stats")
+    return judged(stats, cut(thresholds(stats, reach, least), "limits"))
+
+
+def keep(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
+    """The rows of df that judge() keeps, with df's columns. Texts are measured once more where they lie, so none is shuffled."""
+    stats = cut(with_stats(df.select("text", "lang", "source")), "stats")
+    limits = cut(thresholds(stats, reach, least), "limits")
+    own = [x.split()[0] for x in STATS.split(", ")]
+    clash = {c: f"_own_{c}" for c in df.columns if c in [*own, "base_failed", "kept"] or c.startswith("max_")}
+    named = df.withColumnsRenamed(clash)
+    kept = judged(with_stats(named, keep_text=True), limits).filter("kept").select(*named.columns)
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()})
