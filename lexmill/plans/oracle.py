@@ -183,7 +183,7 @@ SQL = {
     "syllable_variants": SYLLABLES,
     "lattice_edges": f"WITH RECURSIVE {SEARCH} SELECT query_id, s, e, word FROM edge",
     "kbest_paths_exhaustive": f"WITH RECURSIVE {SEARCH} SELECT query_id, words, round(cost, 9) AS cost FROM paths WHERE place = n",
-    "kbest_paths_viterbi": f"WITH RECURSIVE {SEARCH} SELECT query_id, output, round(min(cost), 9) AS cost FROM paths WHERE place = n GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(cost), output) = 1",
+    "kbest_paths_viterbi": f"WITH RECURSIVE {SEARCH}, o AS (SELECT query_id, output, min(cost) AS cost FROM paths WHERE place = n GROUP BY 1, 2) SELECT query_id, output, round(cost, 9) AS cost FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, output) = 1",
     "streaming_word_counts": f"WITH {CNT} SELECT * FROM cnt",
 }
 
