@@ -53,6 +53,8 @@ class Backoff:
 def beam(length: int, rows: list[tuple[int, int, str, float]], config: SearchConfig, scores: Backoff | None) -> list[tuple[str, float, list[str]]]:
     """The config.k best (output, cost, words) of edges (s, e, word, freq); of equal outputs the cheapest. States are the last two words; each
     keeps its k best paths, a place k times beam_multiplier in all. Ties go to the words that sort first."""
+    if scores is None:
+        return cheapest(length, rows, config)
     ending: dict[int, list] = {}
     for s, e, word, freq in rows:
         ending.setdefault(e, []).append((s, word, edge_cost(freq, config)))
@@ -63,21 +65,49 @@ def beam(length: int, rows: list[tuple[int, int, str, float]], config: SearchCon
         for s, word, cost in ending.get(e, ()):
             for (prev2, prev1), paths in at[s].items():
                 step = cost
-                if scores is not None and config.ngram_weight:
+                if config.ngram_weight:
                     step += config.ngram_weight * -log(max(scores.prob(prev2, prev1, word), 1e-20))
-                states.setdefault((prev1, word) if scores is not None else (None, None), []).extend((c + step, (*words, word)) for c, words in paths)
+                states.setdefault((prev1, word), []).extend((c + step, (*words, word)) for c, words in paths)
         states = {k: sorted(v)[: config.k] for k, v in states.items()}
         wide = config.k * config.beam_multiplier
-        if scores is not None and sum(map(len, states.values())) > wide:
+        if sum(map(len, states.values())) > wide:
             best = sorted(((c, w, k) for k, v in states.items() for c, w in v), key=lambda x: x[:2])[:wide]
             states = {}
             for c, w, k in best:
                 states.setdefault(k, []).append((c, w))
         at[e] = states
+    return distinct(sorted(p for v in at[length].values() for p in v) if length else [], config.k)
+
+
+def distinct(paths: list[tuple[float, tuple]], k: int) -> list[tuple[str, float, list[str]]]:
+    """The first k outputs of sorted paths, each with its cheapest path."""
     out: dict[str, tuple[str, float, list[str]]] = {}
-    for c, words in sorted(p for v in at[length].values() for p in v) if length else []:
-        out.setdefault("".join(words), ("".join(words), c, list(words)))
-    return list(out.values())[: config.k]
+    for c, words in paths:
+        text = "".join(words)
+        if text not in out:
+            out[text] = (text, c, list(words))
+            if len(out) == k:
+                break
+    return list(out.values())
+
+
+def cheapest(length: int, rows: list[tuple[int, int, str, float]], config: SearchConfig) -> list[tuple[str, float, list[str]]]:
+    """beam() where a word's cost is its own: one list of the k cheapest paths at each place that an edge reaches."""
+    k, floor, penalty = config.k, config.floor, config.penalty
+    at: dict[int, list] = {0: [(0.0, ())]} if length else {}
+    found: dict[int, list] = {}
+    for s, e, word, freq in sorted(rows):  # by beginning: all that ends at a place is known before what begins there
+        if s not in at:
+            if s not in found:
+                continue
+            paths = found[s]
+            paths.sort()
+            at[s] = paths[:k]
+        cost = penalty - log(freq if freq > floor else floor)
+        own = found.setdefault(e, [])
+        for c, words in at[s]:
+            own.append((c + cost, (*words, word)))
+    return distinct(sorted(found.get(length, ())), k)
 
 
 RESULT = "query_id long, rank int, output string, cost double, words string"
