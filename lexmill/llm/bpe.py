@@ -8,6 +8,8 @@ one matrix, which changes neither the order of merges within a word nor the resu
 Words (white-space separated chunks) repeat, so a worker remembers the ids of chunks, up to KNOWN of them; memory is bounded
 by that and by the slice of texts at hand. Only the vocabulary (about 2 MB) travels to executors.
 
+Ids equal the library's for all text of assigned code points; it knows letters of a later Unicode version than Python's tables, so
+some of today's unassigned ones it cuts otherwise.
 Nulls and empty texts have no tokens and decode to ''. A text without white space is one long chunk: exact, only slower.
 Repeated rows repeat; extra columns pass through, and own columns of the same names as outputs are replaced.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Shared, slices, words
+from .common import Shared, slices, small_batches, words
 
 #: What counts as white space (as escapes of a character class), and the contractions that are pieces.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -34,7 +36,7 @@ PIECES = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}
 ASCII_PIECES = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^" + WHITE + r"a-z0-9]+", re.ASCII)
 NONE = np.int64(2**62)
 CELLS = 1 << 17  # of a matrix of trees
-KNOWN = 300_000  # chunks whose ids a worker remembers, about 60 MB; then it begins anew
+KNOWN = 150_000  # chunks whose ids a worker remembers, about 30 MB; then it begins anew
 
 
 def byte_letters() -> list[str]:
@@ -255,6 +257,7 @@ OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sh
 
 def encode(df: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with the outputs named, of OUTPUTS: ids, their number, the text decoded from them, and digests of both."""
+    small_batches(df.sparkSession)
     model = Shared(df.sparkSession, Model(path))
     kept = [f for f in df.schema.fields if f.name not in outputs and (keep_text or f.name != text)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{o} {OUTPUTS[o]}" for o in outputs])

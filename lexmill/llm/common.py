@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -80,8 +82,23 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int) -> D
     return df.filter(low).withColumn("_h", h).withColumn("_r", w).filter(F.col("_r") <= per_stratum).drop("_h", "_r")
 
 
+def tidy() -> None:
+    """Gives memory that Python no longer uses back to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it keep theirs
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Spark hands them to Python by this many at a time, unless the session says less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about max_bytes; one longer text stands alone."""
+    tidy()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -94,6 +111,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
             to = max(to, at + 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        tidy()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

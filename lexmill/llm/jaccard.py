@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small, words
+from .common import cut, slices, small, small_batches, words
 
 TILE = 256
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +119,7 @@ def digest(grams: np.ndarray) -> str:
 
 def signatures(df: DataFrame, text: str, size: int, bands: int, rows: int) -> DataFrame:
     """df with node (a digest of the n-gram set, '' for none) and bands instead of its text."""
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (text, "node", "bands")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["node string", "bands array<long>"])
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, slices, small, text_bytes, words
+from .common import cut, per_text, slices, small, small_batches, text_bytes, words
 
 #: Spaces (20, 09-0D in hexadecimal) and symbols of the base rule, and the marks that a further measure counts.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -110,6 +110,7 @@ def with_stats(df: DataFrame, text: str = "text", keep_text: bool = False) -> Da
     rest = [f for f in df.schema.fields if keep_text or f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [STATS])
 
+    small_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             found = measure(b.column(text))

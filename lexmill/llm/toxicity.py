@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import Shared, bounded_sample, slices, words
+from .common import bounded_sample, Shared, slices, small_batches, words
 
 WIDTH, STRIDE = 20, 10
 DECAY = 0.6
@@ -403,6 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def predict(df: DataFrame, model: object, threshold: float = 0.7, text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with score and predicted, by any model with score(texts)."""
+    small_batches(df.sparkSession)
     shared = Shared(df.sparkSession, model)
     kept = [f for f in df.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "predicted int"])
