@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small, text_bytes
+from .common import cut, slices, small, small_batches, text_bytes
 
 BLOCKS = 1024
 SPACE = np.zeros(256, bool)
@@ -48,6 +48,7 @@ def word_counts(texts: pa.Array) -> np.ndarray:
 
 def sizes(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the column size instead of its text."""
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (text, "size")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["size long"])
 
@@ -173,7 +174,7 @@ class Plan:
 
         def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for shard in f["id"].tolist():
+                for shard in f["id"].tolist() if names else ():
                     begin, n = split(counts, shards, shard, seed)
                     yield pd.DataFrame({"shard": shard, "_mix": names, "begin": begin, "n": n})
 

@@ -82,7 +82,7 @@ class Model:
 
     def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 8.0, batch: int = 64) -> Model:
         labels = np.asarray(labels, np.int64)
-        if labels.min(initial=1) == labels.max(initial=0):
+        if len(np.unique(labels)) < 2:
             return self
         # rows and weights of each document; equal rows of one document are added up
         docs = []

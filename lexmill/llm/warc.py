@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small
+from .common import cut, slices, small, small_batches
 
 #: Fixed values of the formats: magic numbers, version line, and what ends a record.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -102,9 +102,12 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     if at > len(data):
         raise Invalid("the dictionary is cut off")
     dictionary = bytes(data[8:at])
-    if dictionary[:4] == struct.pack("<I", FRAME):  # it may itself be compressed
-        dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
-    open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    try:
+        if dictionary[:4] == struct.pack("<I", FRAME):  # it may itself be compressed
+            dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
+        open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    except zstandard.ZstdError as e:
+        raise Invalid(f"the dictionary can't be loaded: {e}") from e
     while at < len(data):
         end = frame_end(data, at)
         try:
@@ -155,6 +158,7 @@ def key_of(uri: str) -> int | None:
 
 def write(df: DataFrame, key: str, url: str, payload: str, least: int = 100, archive_bytes: int = 8 << 20) -> DataFrame:
     """A table (archive, content) of all rows, in the shared folder."""
+    small_batches(df.sparkSession)
     page = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     page = page.withColumn("digest", F.sha2("payload", 256))
     groups = page.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
