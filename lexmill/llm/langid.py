@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, bounded_sample, slices
+from .common import bounded_sample, Shared, slices, small_batches
 
 BLOCK = 256
 LETTERS = 46  # with codes of their own; besides them a space and one code for all others
@@ -102,7 +102,7 @@ class Model:
         self.langs = sorted(samples)
         self.table = letter_table([t for lang in self.langs for t in samples[lang]])
         self.width = LETTERS + 2
-        tables, self.roots, self.bits, size = [], [], [], 0
+        tables, self.roots, self.bits, dead, size = [], [], [], [], 0
         for lang in self.langs:
             found, at = codes(pa.array(samples[lang], pa.string()), self.table)
             use, left = [], chars
@@ -110,15 +110,17 @@ class Model:
                 if e - s <= left or not use:
                     use.append(found[s : min(e, s + left)])
                     left -= len(use[-1])
-            own = suffix_automaton(np.concatenate(use), self.width)
+            # the last state is that after a letter which the sample lacks: every match ends there
+            own = np.concatenate((suffix_automaton(np.concatenate(use), self.width), np.full((1, self.width), -1, np.int32)))
+            dead.append(size + len(own) - 1)
             tables.append(np.where(own >= 0, own + size, -1))
             self.roots.append(size)
             self.bits.append(np.log2(2 + chars - left))
             size += len(own)
         flat = np.concatenate(tables) if tables else np.zeros((0, self.width), np.int64)
         self.next = (np.where(flat >= 0, flat * self.width, -1)).astype(np.int32).reshape(-1)  # states as row offsets
-        # where a phrase ends: the state after its root has read the code, or the root itself if its sample lacks the code
-        self.restart = np.stack([np.where((r := flat[root]) >= 0, r, root) * self.width for root in self.roots]).astype(np.int32) if tables else None
+        # where a phrase begins: the state after the root has read the code
+        self.restart = np.stack([np.where((r := flat[root]) >= 0, r, end) * self.width for root, end in zip(self.roots, dead, strict=True)]).astype(np.int32) if tables else None
 
     def phrases(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) and language (columns)."""
@@ -132,7 +134,7 @@ class Model:
         begin, length, text = begin[order], length[order], text[order]
         alive = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than each step
         total = np.zeros((len(size), len(self.langs)), np.int64)
-        state = [np.full(len(begin), root * self.width, np.int32) for root in self.roots]
+        state = [np.zeros(len(begin), np.int32) for _ in self.roots]
         count = [np.ones(len(begin), np.int32) for _ in self.roots]
         for step in range(BLOCK):
             k = alive[step]
@@ -140,6 +142,9 @@ class Model:
                 break
             c = found[begin[:k] + step].astype(np.int32)
             for s, root, n_ in zip(state, self.restart, count, strict=True):
+                if not step:
+                    s[:] = root[c]
+                    continue
                 to = self.next[s[:k] + c]
                 ends = to < 0
                 n_[:k] += ends
@@ -176,6 +181,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with lang_pred and score."""
+    small_batches(df.sparkSession)
     shared = Shared(df.sparkSession, model)
     kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score") and (keep_text or f.name != text)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
