@@ -188,5 +188,16 @@ SQL = {
 }
 
 
+#: Columns that are 32-bit in Spark.
+INTS = {
+    "word_provenance": ["n_sources"], "wordlist_ranked": ["source_count"], "topk_words_with_ranks": ["rank"], "token_segments": ["pos", "seg_id"],
+    "coverage_by_source_count": ["source_count"], "variant_stats": ["min_variants", "max_variants", "median_variants"],
+    "heuristic_h1": ["source_count", "nuclei", "rom_clusters", "discrepancy"], "heuristic_h2": ["source_count", "consonants", "rom_consonants", "discrepancy"],
+    "heuristic_h3": ["source_count", "base_len", "min_rom_len"], "heuristic_h4": ["source_count", "consonants", "max_rom_len"],
+    "llm_batches": ["n"], "lattice_edges": ["s", "e"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    typed = lambda k, q: f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in INTS[k])}) FROM ({q}) AS q" if k in INTS else q
+    return {k: typed(k, q) for k, q in SQL.items()}
