@@ -14,8 +14,8 @@ from lexmill.llm import bpe, jaccard, langid, mixing, rules
 from lexmill.llm.common import cut, remainder
 from lexmill.llm.queries import vocabulary
 
-#: Predictions of a language below this score are rejected.
-LEAST_SCORE = 0.02
+#: Predictions of a language below this score, which are ties but for a hair, are rejected; texts of two languages are not.
+LEAST_SCORE = 1e-4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
