@@ -4,9 +4,11 @@ Sketch: a value x falls into bucket ceil(log(x + 1/1000) / log(1.02)), a logarit
 is a table of (group, measure, bucket, count); sketches of parts merge by adding counts, which Spark does partly before
 its shuffle, so no group is ever gathered in one task. Quantiles follow from running counts over at most ~1100 buckets.
 
-Threshold of a measure in a group: its 0.75 quantile plus `reach` times the distance from its 0.5 to its 0.75 quantile (or
-a relative floor of that distance), never below a floor of its own. Groups of fewer than `least` documents take the
-threshold of their language, and those of rare languages the one of all documents.
+Threshold of a measure in a group, over the documents that pass the base rule: its upper quantile (0.75, or 0.95 where most texts
+have nothing of it and some have much) plus `reach` times the distance from its 0.5 quantile (or a twentieth of that quantile, if
+that is more). No threshold has a floor; instead a text's own count is reduced by what one occurrence gives, so that a group of
+nothing but zeros tolerates that and no more. Word lengths have a lower limit as well, by the 0.25 quantile. Groups of fewer than
+`least` such documents take the threshold of their language, and those of rare languages the one of all documents.
 
 Nulls: a null text has no words; null languages and sources form groups of their own. Empty texts fail the base rule.
 Repeated rows count each time. Extra columns pass through; own columns of the input with the same names are replaced.
@@ -30,15 +32,17 @@ SYMBOLS = b"#*$%&|<>"
 MARKS = b"!?|#*$%&<>=_~^/@+"
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_marks long, n_upper long, n_lines long"
-#: Measures under adaptive thresholds with their floors: (name, numerator, denominator, floor).
+#: Measures under adaptive thresholds: (name, numerator, denominator, count of one occurrence, upper quantile). One repeat makes two
+#: windows of three words; marks come in pairs.
 MEASURES = [
-    ("symbol_share", "n_symbols", "word_chars", 0.02),
-    ("mark_share", "n_marks", "word_chars", 0.08),
-    ("upper_share", "n_upper", "word_chars", 0.30),
-    ("repeat_share", "n_repeat_words", "n_words", 0.45),
-    ("dup_line_share", "n_dup_lines", "n_lines", 0.50),
-    ("word_length", "word_chars", "n_words", 12.0),
+    ("symbol_share", "n_symbols", "word_chars", 1, 0.75),
+    ("mark_share", "n_marks", "word_chars", 2, 0.75),
+    ("upper_share", "n_upper", "word_chars", 1, 0.75),
+    ("repeat_share", "n_repeat_words", "n_words", 6, 0.95),
+    ("dup_line_share", "n_dup_lines", "n_lines", 1, 0.95),
+    ("word_length", "word_chars", "n_words", 0, 0.75),
 ]
+BOTH_SIDES = ["word_length"]
 
 
 def doubled(keys: np.ndarray) -> np.ndarray:
@@ -119,8 +123,13 @@ def with_stats(df: DataFrame, text: str = "text", keep_text: bool = False) -> Da
     return df.mapInArrow(run, schema)
 
 
-def share(num: str, den: str) -> F.Column:
-    return F.coalesce(F.try_divide(F.col(num).cast("double"), F.col(den).cast("double")), F.lit(0.0))
+def share(num: str, den: str, less: int = 0) -> F.Column:
+    return F.coalesce(F.try_divide(F.col(num).cast("double") - less, F.col(den).cast("double")), F.lit(0.0))
+
+
+def base_rule() -> F.Column:
+    """Whether a row of stats fails the base rule."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 GRID = 1.02
@@ -128,7 +137,7 @@ GRID = 1.02
 
 def sketch(stats: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, measure, bucket, n): mergeable by adding n."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.ceil(F.log(share(a, b) + F.lit(0.001)) / F.log(F.lit(GRID))).cast("int").alias("bucket")) for m, a, b, _ in MEASURES]))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.ceil(F.log(share(a, b) + F.lit(0.001)) / F.log(F.lit(GRID))).cast("int").alias("bucket")) for m, a, b, *_ in MEASURES]))
     return stats.select(*groups, each.alias("e")).groupBy(*groups, "e.measure", "e.bucket").agg(F.count("*").alias("n"))
 
 
@@ -142,26 +151,38 @@ def quantiles(sketches: DataFrame, groups: list[str], at: tuple[float, ...] = (0
 
 
 def thresholds(stats: DataFrame, reach: float, least: int) -> DataFrame:
-    """One row for each language and source: lang, source and a limit for each measure."""
-    base = cut(sketch(stats, ["lang", "source"]), "sketch")
-    floor = F.create_map(*[F.lit(x) for m, _, _, f in MEASURES for x in (m, f)])
-    limit = lambda q: q.withColumn("limit", F.greatest(floor[F.col("measure")], F.col("q1") + reach * F.greatest(F.col("q1") - F.col("q0"), 0.1 * F.col("q1"))))
-    fine = limit(quantiles(base, ["lang", "source"])).select("lang", "source", "measure", "n", F.col("limit").alias("l0"))
-    mid = limit(quantiles(base, ["lang"])).select(F.col("lang").alias("lang1"), F.col("measure").alias("measure1"), F.col("n").alias("n1"), F.col("limit").alias("l1"))
-    top = limit(quantiles(base, [])).select(F.col("measure").alias("measure2"), F.col("limit").alias("l2"))
+    """One row for each language and source: lang, source, a limit max_ for each measure and min_ for those of both sides."""
+    base = cut(sketch(stats.filter(~base_rule()), ["lang", "source"]), "sketch")
+    far = F.create_map(*[F.lit(x) for m, *_, q in MEASURES for x in (m, q)])[F.col("measure")]
+
+    def limits(groups: list[str], n: int) -> DataFrame:
+        top = F.when(far == 0.95, F.col("q3")).otherwise(F.col("q2"))
+        spread = lambda end: F.greatest(F.abs(end - F.col("q1")), 0.05 * end)
+        pair = F.struct((top + reach * spread(top)).alias("high"), (F.col("q0") - reach * spread(F.col("q0"))).alias("low"))
+        names = [F.col(c).alias(c if not n else f"{c}{n}") for c in [*groups, "measure"]]
+        return quantiles(base, groups, (0.25, 0.5, 0.75, 0.95)).select(*names, F.col("n").alias(f"n{n}"), pair.alias(f"l{n}"))
+
+    fine, mid, top = limits(["lang", "source"], 0), limits(["lang"], 1), limits([], 2)
     both = fine.join(mid, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("measure") == F.col("measure1")), "left").join(F.broadcast(top), F.col("measure") == F.col("measure2"), "left")
-    chosen = F.when(F.col("n") >= least, F.col("l0")).when(F.col("n1") >= least, F.col("l1")).otherwise(F.col("l2"))
-    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, chosen)).alias(f"max_{m}") for m, *_ in MEASURES])
+    chosen = F.when(F.col("n0") >= least, F.col("l0")).when(F.col("n1") >= least, F.col("l1")).otherwise(F.col("l2"))
+    of = lambda m, side: F.max(F.when(F.col("measure") == m, chosen[side]))
+    return both.groupBy("lang", "source").agg(*[of(m, "high").alias(f"max_{m}") for m, *_ in MEASURES], *[of(m, "low").alias(f"min_{m}") for m in BOTH_SIDES])
+
+
+def limit_columns(columns: list[str]) -> list[str]:
+    return [c for c in columns if c.startswith(("max_", "min_"))]
 
 
 def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """stats with the limits of each row's group, base_failed and kept."""
-    other = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in limits.columns if c.startswith("max_")])
-    joined = stats.drop(*[c for c in limits.columns if c.startswith("max_")]).join(small(other), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    other = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limit_columns(limits.columns))
+    joined = stats.drop(*limit_columns(limits.columns)).join(small(other), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    failed = base_rule()
     within = F.lit(True)
-    for m, a, b, _ in MEASURES:
-        within &= share(a, b) <= F.coalesce(F.col(f"max_{m}"), F.lit(float("inf")))
+    for m, a, b, one, _ in MEASURES:
+        within &= share(a, b, one) <= F.coalesce(F.col(f"max_{m}"), F.lit(float("inf")))
+        if m in BOTH_SIDES:
+            within &= share(a, b) >= F.coalesce(F.col(f"min_{m}"), F.lit(0.0))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
 
 
@@ -176,7 +197,7 @@ def keep(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
     stats = cut(with_stats(df.select("text", "lang", "source")), "stats")
     limits = cut(thresholds(stats, reach, least), "limits")
     own = [x.split()[0] for x in STATS.split(", ")]
-    clash = {c: f"_own_{c}" for c in df.columns if c in [*own, "base_failed", "kept"] or c.startswith("max_")}
+    clash = {c: f"_own_{c}" for c in df.columns if c in [*own, "base_failed", "kept"] or c in limit_columns(df.columns)}
     named = df.withColumnsRenamed(clash)
     kept = judged(with_stats(named, keep_text=True), limits).filter("kept").select(*named.columns)
     return kept.withColumnsRenamed({v: k for k, v in clash.items()})

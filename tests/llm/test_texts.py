@@ -62,6 +62,18 @@ def test_thresholds_follow_their_group(spark, prose):
     assert sorted(r.doc_id for r in rules.keep(docs).collect()) == sorted(i for i, v in got.items() if v[1])
 
 
+def test_thresholds_have_no_floors(spark, prose):
+    """A few symbols are far outside a source without any, and words far shorter than a source's are outside as well."""
+    rows = [(i, prose("aa", 80), "aa", "calm") for i in range(60)]
+    few = prose("aa", 100)
+    few += " #" * int(0.019 * len(few))
+    assert 0.01 < few.count("#") / len(few) < 0.02
+    rows += [(100, few, "aa", "calm"), (101, " ".join(f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"), "aa", "calm"), (102, prose("aa", 80) + " #", "aa", "calm")]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got.pop(100) == got.pop(101) == (False, False)
+    assert all(v == (False, True) for v in got.values())
+
+
 def test_rules_on_odd_rows(odd, empty):
     got = rules.judge(odd).collect()
     assert len(got) == 11 and not any(r.kept for r in got)
