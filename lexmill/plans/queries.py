@@ -372,11 +372,16 @@ def q_ranking_coverage_rollup(s, d):
     return evaluation.ranking_coverage(b, g.filter("n = 1").select(F.col("w1").alias("word")), g.filter("n = 2"))
 
 
+def with_item(s, d):
+    """Documents with item_id: each goes to the benchmark item of its number, modulo the number of items, which are numbered from 0."""
+    items = read(s, d, "benchmark").count()
+    return read(s, d, "documents").withColumn("item_id", F.pmod(F.col("doc_id"), F.lit(max(items, 1))))
+
+
 def ranked_candidates(s, d):
     """(candidates, expected) of documents: the distinct words of a text in order of their first place, and the word of the benchmark item of its number."""
-    first = F.array_distinct(F.slice(F.split("text", " "), 1, 40))
     b = read(s, d, "benchmark").select("item_id", F.get(F.split("text", " "), F.lit(2)).alias("expected"))
-    return read(s, d, "documents").withColumn("item_id", F.col("doc_id") % 40).select("item_id", first.alias("candidates")).join(F.broadcast(b), "item_id")
+    return with_item(s, d).select("item_id", F.array_distinct(F.split("text", " ")).alias("candidates")).join(F.broadcast(b), "item_id")
 
 
 def q_metrics_mrr_p_at_k(s, d):
@@ -385,7 +390,7 @@ def q_metrics_mrr_p_at_k(s, d):
 
 def q_metrics_word_f1(s, d):
     b = read(s, d, "benchmark").select("item_id", F.split("text", " ").alias("e"))
-    j = read(s, d, "documents").withColumn("item_id", F.col("doc_id") % 40).select("doc_id", "item_id", F.split("text", " ").alias("p")).join(F.broadcast(b), "item_id")
+    j = with_item(s, d).select("doc_id", "item_id", F.split("text", " ").alias("p")).join(F.broadcast(b), "item_id")
     return j.select("doc_id", *[F.round(c, 9).alias(n) for n, c in evaluation.word_f1(F.col("p"), F.col("e")).items()])
 
 

@@ -79,3 +79,16 @@ def test_recall_and_rollup(spark):
     rank = spark.createDataFrame([("t1", "a", "b"), ("t1", "", "a"), ("t2", "b", "a")], "type string, context string, expected_top string")
     uni, bi = spark.createDataFrame([("a",)], "word string"), spark.createDataFrame([("a", "b")], "w1 string, w2 string")
     assert {tuple(x) for x in evaluation.ranking_coverage(rank, uni, bi).collect()} == {("t1", 2, 2), ("t2", 1, 0), ("TOTAL", 3, 2)}
+
+
+def test_metrics_take_whole_texts_and_all_items(spark, tmp_path):
+    """50 items, and expected words beyond the fortieth word of a text."""
+    from lexmill.plans import queries
+
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(60)) + f" e{i}" for i in range(50)}
+    spark.createDataFrame([(i, f"a b e{i}") for i in range(50)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = queries.q_metrics_mrr_p_at_k(spark, str(tmp_path)).first()
+    assert (r.n, r.p_at_10, r.mrr, r.coverage) == (50, 0.0, round(1 / 61, 9), 1.0)
+    f1 = queries.q_metrics_word_f1(spark, str(tmp_path)).collect()
+    assert len(f1) == 50 and {(x.precision, x.recall) for x in f1} == {(round(1 / 61, 9), round(1 / 3, 9))}
