@@ -6,8 +6,9 @@ With c phrases over n letters and spaces and a sample of m, the normalised numbe
 language with the least wins, ties going to the name that sorts first. Text is parsed in blocks of 256
 letters and spaces, and a phrase ends where its block does; all blocks of all languages advance together as numpy arrays.
 
-Normal form: code points that are letters, in lower case; each run of other characters is one space. The most frequent letters
-of the sample have codes of their own, all others share one.
+Normal form: code points that are letters, in lower case; each run of other characters is one space. Every letter of any sample has
+a code of its own; letters that no sample has share one. Each language's automaton has an alphabet of its own, that of its sample; its
+transitions are a full table where that is small, as with alphabets, and else a sorted list of (state, letter), as with Chinese.
 
 Bounds: at most `docs_per_language` documents of a language are sampled (the smallest hashes of their key) and at most
 `chars` letters of them are used, in whole texts where they fit.
@@ -28,19 +29,13 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, Shared, slices, small_batches
 
 BLOCK = 256
-LETTERS = 46  # with codes of their own; besides them a space and one code for all others
+FULL = 4_000_000  # the most entries of a full table of transitions of a language
 
 
 def letter_table(sample: list[str]) -> np.ndarray:
-    """The code of each code point: 0 for what is no letter, 1 for letters outside the most frequent ones of the sample."""
-    counts: dict[str, int] = {}
-    for text in sample:
-        for ch in text.lower():
-            if ch.isalpha():
-                counts[ch] = counts.get(ch, 0) + 1
-    best = sorted(counts, key=lambda ch: (-counts[ch], ch))[:LETTERS]
-    own = {ch: i for i, ch in enumerate(best, 2)}
-    table = np.zeros(0x110000, np.uint8)
+    """The code of each code point: 0 for what is no letter, 1 for letters that the sample lacks, and one for each that it has."""
+    own = {ch: i for i, ch in enumerate(sorted({ch.lower()[0] for ch in set().union(*sample) if ch.isalpha()}), 2)}
+    table = np.zeros(0x110000, np.uint8 if len(own) < 254 else np.uint32)
     for cp in (x for r in (range(0xD800), range(0xE000, 0x110000)) for x in r):
         ch = chr(cp)
         if ch.isalpha():
@@ -61,8 +56,8 @@ def codes(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], np.concatenate(([0], np.cumsum(keep)))[np.concatenate((start, [len(found)]))]
 
 
-def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton of text: next[state, code], -1 where the substring ends; 0 is the start."""
+def transitions(text: np.ndarray) -> list[dict[int, int]]:
+    """The state after each code, for each state of the suffix automaton of text; 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -89,20 +84,60 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                 q = twin
             link[cur] = q
         last = cur
+    return step
+
+
+def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
+    """Transitions of the suffix automaton of text: next[state, code], -1 where the substring ends; 0 is the start."""
+    step = transitions(text)
     out = np.full((len(step), alphabet), -1, np.int32)
     for s, d in enumerate(step):
         out[s, list(d.keys())] = list(d.values())
     return out
 
 
+class Automaton:
+    """The suffix automaton of one sample. States are row offsets: the number of the state times the size of the alphabet."""
+
+    def __init__(self, text: np.ndarray, n_codes: int):
+        letters = np.unique(text)
+        # code 0 of its own is that of what the sample lacks
+        self.own = np.zeros(n_codes, np.int32)
+        self.own[letters] = np.arange(1, len(letters) + 1)
+        self.width = width = len(letters) + 1
+        step = transitions(self.own[text])
+        n = len(step)
+        self.full = self.keys = None
+        if (n + 1) * width <= FULL:
+            # the last state is that after a letter which the sample lacks: every match ends there
+            self.full = np.full((n + 1) * width, -1, np.int32)
+            for s, d in enumerate(step):
+                for c, to in d.items():
+                    self.full[s * width + c] = to * width
+        else:
+            pairs = sorted((s * width + c, to * width) for s, d in enumerate(step) for c, to in d.items())
+            self.keys, self.to = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.restart = np.full(width, n * width, np.int32 if self.keys is None else np.int64)  # the state after the start has read the code
+        for c, to in step[0].items():
+            self.restart[c] = to * width
+
+    def next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after the codes, -1 where the substring ends."""
+        if self.keys is None:
+            return self.full[state + code]
+        key = state + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
 class Model:
-    """The automata of all languages in one table of transitions."""
+    """The automata of all languages."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int):
         self.langs = sorted(samples)
         self.table = letter_table([t for lang in self.langs for t in samples[lang]])
-        self.width = LETTERS + 2
-        tables, self.roots, self.bits, dead, size = [], [], [], [], 0
+        n_codes = int(self.table.max(initial=0)) + 1
+        self.automata, self.bits = [], []
         for lang in self.langs:
             found, at = codes(pa.array(samples[lang], pa.string()), self.table)
             use, left = [], chars
@@ -110,17 +145,8 @@ class Model:
                 if e - s <= left or not use:
                     use.append(found[s : min(e, s + left)])
                     left -= len(use[-1])
-            # the last state is that after a letter which the sample lacks: every match ends there
-            own = np.concatenate((suffix_automaton(np.concatenate(use), self.width), np.full((1, self.width), -1, np.int32)))
-            dead.append(size + len(own) - 1)
-            tables.append(np.where(own >= 0, own + size, -1))
-            self.roots.append(size)
+            self.automata.append(Automaton(np.concatenate(use), max(n_codes, 2)))
             self.bits.append(np.log2(2 + chars - left))
-            size += len(own)
-        flat = np.concatenate(tables) if tables else np.zeros((0, self.width), np.int64)
-        self.next = (np.where(flat >= 0, flat * self.width, -1)).astype(np.int32).reshape(-1)  # states as row offsets
-        # where a phrase begins: the state after the root has read the code
-        self.restart = np.stack([np.where((r := flat[root]) >= 0, r, end) * self.width for root, end in zip(self.roots, dead, strict=True)]).astype(np.int32) if tables else None
 
     def phrases(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) and language (columns)."""
@@ -134,21 +160,22 @@ class Model:
         begin, length, text = begin[order], length[order], text[order]
         alive = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than each step
         total = np.zeros((len(size), len(self.langs)), np.int64)
-        state = [np.zeros(len(begin), np.int32) for _ in self.roots]
-        count = [np.ones(len(begin), np.int32) for _ in self.roots]
+        state = [np.zeros(len(begin), a.restart.dtype) for a in self.automata]
+        count = [np.ones(len(begin), np.int32) for _ in self.automata]
         for step in range(BLOCK):
             k = alive[step]
             if not k:
                 break
-            c = found[begin[:k] + step].astype(np.int32)
-            for s, root, n_ in zip(state, self.restart, count, strict=True):
+            read = found[begin[:k] + step]
+            for s, automaton, n_ in zip(state, self.automata, count, strict=True):
+                c = automaton.own[read]
                 if not step:
-                    s[:] = root[c]
+                    s[:] = automaton.restart[c]
                     continue
-                to = self.next[s[:k] + c]
+                to = automaton.next(s[:k], c)
                 ends = to < 0
                 n_[:k] += ends
-                s[:k] = np.where(ends, root[c], to)
+                s[:k] = np.where(ends, automaton.restart[c], to)
         for j, n_ in enumerate(count):
             total[:, j] = np.bincount(text, weights=n_, minlength=len(size))
         return total

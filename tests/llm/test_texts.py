@@ -119,6 +119,29 @@ def test_suffix_automaton_accepts_substrings():
             assert (state >= 0) == (s in subs)
 
 
+def test_every_letter_counts(monkeypatch):
+    """Relatives that differ in rare letters of one script, beside languages of many letters; full and sorted transitions agree."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))
+    alphabets = {"la": "abcdefghijklmnopqrstuvwxyzäöüßéèêñçàâîôûœæøå", "ru": "абвгдежзиклмнопрстуыэъё", "uk": "абвгдежзиклмнопрстуіїєґ", "el": "αβγδεζηθικλμνξοπρστυφχψω"}
+    alphabets |= {"zh": "".join(chr(0x4E00 + i) for i in range(300)), "ja": "".join(chr(0x5200 + i) for i in range(300))}
+    text = lambda lang, n: " ".join(word(alphabets[lang]) for _ in range(n))
+    samples = {x: [text(x, 2000 if x == "la" else 400)] for x in alphabets}
+    # words of common letters only, but for one at the end of each
+    rare = {"ru": "ыэъё", "uk": "іїєґ"}
+    held = [(x, text(x, 40)) for x in alphabets for _ in range(5)] + [(x, " ".join(word("абвгде") + rng.choice(rare[x]) for _ in range(40))) for x in rare for _ in range(5)]
+    texts = pa.array([t for _, t in held])
+    m = langid.Model(samples, 24_000)
+    letters = set("".join(t for x in samples.values() for t in x)) - {" "}
+    assert len({m.table[ord(c)] for c in letters} - {0, 1}) == len(letters) > 600
+    assert m.predict(texts)[0] == [x for x, _ in held]
+    monkeypatch.setattr(langid, "FULL", 0)
+    other = langid.Model(samples, 24_000)
+    assert all(a.full is None for a in other.automata) and any(a.full is not None for a in m.automata)
+    found, at = langid.codes(texts, m.table)
+    assert (m.phrases(found, at) == other.phrases(found, at)).all()
+
+
 def test_language_id(spark, prose, odd, empty):
     rows = [(i, prose(x, 40), x, "s") for i, x in enumerate(["aa", "bb", "cc", "dd"] * 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
