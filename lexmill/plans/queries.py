@@ -440,8 +440,15 @@ def lattice_of(s, d):
     return lattice.edges(search_queries(s, d), search_keys(s, d))
 
 
+def whole_lattice(s, d):
+    """Edges of all words in whole benchmark texts, their words run together."""
+    t = F.filter(tokenize(F.col("text"), LATIN), lambda x: T.is_valid(x, LATIN))
+    keys = merged(s, d).select(F.col("word").alias("romanization_key"), F.xxhash64("word").alias("word_id"), "word", F.round("freq", 12).alias("frequency"))
+    return lattice.edges(read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(t, "").alias("input")), keys)
+
+
 def q_lattice_edges(s, d):
-    return lattice_of(s, d).select("query_id", "s", "e", "word")
+    return whole_lattice(s, d).select("query_id", "s", "e", "word")
 
 
 def q_kbest_paths_exhaustive(s, d):

@@ -92,3 +92,15 @@ def test_metrics_take_whole_texts_and_all_items(spark, tmp_path):
     assert (r.n, r.p_at_10, r.mrr, r.coverage) == (50, 0.0, round(1 / 61, 9), 1.0)
     f1 = queries.q_metrics_word_f1(spark, str(tmp_path)).collect()
     assert len(f1) == 50 and {(x.precision, x.recall) for x in f1} == {(round(1 / 61, 9), round(1 / 3, 9))}
+
+
+def test_edges_of_all_words_in_whole_texts(spark, tmp_path):
+    """A rare word far beyond the first words of a text, beside 400 more frequent ones."""
+    from lexmill.plans import queries
+
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "pqrstvwx"]
+    docs = [(1, " ".join(words * 2) + " zyxwvzyxwv", "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(words[:8]) + " zyxwvzyxwv")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.s, r.e, r.word) for r in queries.q_lattice_edges(spark, str(tmp_path)).collect()}
+    assert {(3 * i, 3 * i + 3, w) for i, w in enumerate(words[:8])} <= got and (24, 34, "zyxwvzyxwv") in got
