@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +21,62 @@ from pyspark.sql import functions as F
 
 #: Python works on slices of about so many bytes of text, whatever the size of Spark's batches.
 SLICE_BYTES = 6 << 20
-#: A table of at most so many rows (of at most a few hundred bytes each) may be broadcast.
-BROADCAST_ROWS = 500_000
+#: A table of at most so many rows, and bytes, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a folder of our own only where it names none."""
+    """The folder that driver and executors share, as the session names it. Only where it names none and all runs in one process, as in
+    tests, a folder of this machine serves; on a cluster a missing setting is an error, as others would not see the files."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lost executors recompute nothing that lies before."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as Parquet to the shared folder and read again: lost executors recompute nothing that lies before. The files are deleted
+    when the driver ends, as results that are read later may need them until then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if id(spark.sparkContext) not in WRITTEN:
+        WRITTEN[id(spark.sparkContext)] = []
+        atexit.register(delete_written, spark)
+    WRITTEN[id(spark.sparkContext)].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (already cut), marked for broadcast if its counted rows are within the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+WRITTEN: dict[int, list[str]] = {}
+
+
+def delete_written(spark: SparkSession) -> None:
+    """Deletes what cut() wrote in this session; call it where a session outlives its results."""
+    paths = WRITTEN.pop(id(spark.sparkContext), [])
+    with contextlib.suppress(Exception):  # a session that has ended keeps its files
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df (already cut), marked for broadcast if its counted rows and the bytes of its texts are within the limits; else as it is, for a
+    shuffled join."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(reduce(add, wide, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held + 8 * n * len(df.columns) <= size else df
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, heavy: F.Column) -> DataFrame:
+    """Inner join of rows with keyed (one row a key; both cut). Keys that heavy marks are broadcast, so their many rows stay where they lie; the
+    others are joined by a shuffle. heavy must mark so many rows of a key that there can't be more than 100,000 such keys."""
+    hot = F.broadcast(keyed.filter(heavy))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(~heavy), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 class Shared:
@@ -65,21 +101,28 @@ def remainder(key: str, n: int) -> F.Column:
 def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int) -> DataFrame:
     """At most per_stratum rows of each stratum: those with the smallest hash of key, whatever the partitions.
 
-    Counts of each stratum give a hash threshold that leaves about one and a half times the bound, so that only
+    Counts of each stratum, joined back, give a hash threshold that leaves about one and a half times the bound, so that only
     a bounded remainder is ranked. df should hold only key, stratum and what is cheap to scan twice.
     """
-    h = F.xxhash64(key)
-    counts = df.groupBy(stratum).agg(F.count("*").alias("_n")).collect()
-    share = lambda n: min(1.0, (1.5 * per_stratum + 50) / max(n, 1))
-    low = None
-    for r in counts:
-        top = int(-(2**63) + share(r["_n"]) * (2**64 - 1))
-        one = F.col(stratum).eqNullSafe(F.lit(r[stratum])) & (h <= F.lit(min(top, 2**63 - 1)))
-        low = one if low is None else low | one
-    if low is None:
-        return df.limit(0)
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_stratum + 50) / F.col("_n"))
+    top = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * float(2**64) - float(2**63)).cast("long"))
+    counts = small(cut(df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n")).select("_s", top.alias("_top")), "strata"))
+    low = df.withColumn("_h", F.xxhash64(key)).join(counts, F.col(stratum).eqNullSafe(F.col("_s"))).filter(F.col("_h") <= F.col("_top"))
     w = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
-    return df.filter(low).withColumn("_h", h).withColumn("_r", w).filter(F.col("_r") <= per_stratum).drop("_h", "_r")
+    return low.withColumn("_r", w).filter(F.col("_r") <= per_stratum).select(*df.columns)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, documents: int, letters: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels (0 or 1) of a bounded sample: at most so many documents of each class and so many letters of their texts, in the order of
+    a hash of their key. Texts stay whole; one that no longer fits is left out. An id counts once: with its highest label, and with the
+    text that sorts first."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max((F.col(label) == 1).cast("int")).alias("_label"))
+    sample = cut(bounded_sample(cut(known, "labels"), key, "_label", documents), "sample")
+    found = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), key).groupBy(key, "_label").agg(F.min("_text").alias("_text"))
+    order = Window.partitionBy("_label").orderBy("_hash", key)
+    found = found.withColumn("_hash", F.xxhash64(key)).withColumn("_sum", F.sum(F.length("_text")).over(order)).filter(F.col("_sum") <= letters)
+    rows = found.orderBy("_hash", key).select("_text", "_label").collect()
+    return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64)
 
 
 def tidy() -> None:
