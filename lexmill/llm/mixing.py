@@ -1,20 +1,24 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Sizes are words. Sources share `factor` times all words by their weights; what would exceed `most` times a source's words is
-shared again among the others. A source's documents lie in BLOCKS blocks by a hash of their id. Its target says how often each
-block is drawn: the whole number of times that fits, then blocks in permuted order as long as they fit in what is left; one more
-block is drawn in part, by sub-blocks chosen in the same way, so that the words drawn end next to the target.
+shared again among the others. A source's documents lie in blocks by a hash of their id, as many as its words ask for (a power of two from
+BLOCKS to MOST_BLOCKS, each of about BLOCK_WORDS words in between). Its target says how often each block is to be drawn: the whole
+number of times that fits, then blocks in permuted order as long as they fit in what is left; one more block is drawn in
+part, by sub-blocks chosen in the same way, so that the words drawn end next to the target.
 
-The drawn blocks of a source are its exact quota. A tree halves the output shards: at each node, the number of draws that
+These draws are the exact quota of a source. A tree halves the output shards: at each node, the number of draws that
 go left is split among sources by a multivariate-hypergeometric draw whose seed is the node's place, so a shard finds its
 quotas, and which of each source's permuted draws are its own, by walking down from the root, without any other shard.
-Shards thus take disjoint runs of the permuted draws. Inside a shard, documents are sorted by a hash.
+Shards thus take disjoint runs of the permuted draws. taken() counts what the shards of the tree draw; mixed() hands out the
+documents, each shard a partition of its own (or a few, beyond PARTITIONS), sorted by a hash inside.
 
-All group sizes are bounded: at most BLOCKS rows for each source, and BLOCKS sub-blocks of its one split block. Only one row per
-source reaches the driver. The hash decides everything, so reruns agree and repeated rows (of one id) are drawn together.
+All group sizes are bounded: at most MOST_BLOCKS rows for each source, and BLOCKS sub-blocks of its one split block. One row per
+source reaches the driver, and more than SOURCES of them are an error. The hash decides everything, so reruns agree and repeated rows (of
+one id) are drawn together.
 
 Nulls: a null text has no words, a null source is a source of its own and the last, null ids share a block. Documents without
-words follow their block. Extra columns pass through; own columns of the input named copy, shard or place are replaced.
+words follow their block. Extra columns pass through; own columns of the input of the same names as outputs (size; source_size, target,
+taken; copy, shard, place) are replaced.
 """
 
 from __future__ import annotations
@@ -25,12 +29,17 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, small, small_batches, text_bytes
 
-BLOCKS = 1024
+BLOCKS, MOST_BLOCKS, BLOCK_WORDS = 1 << 10, 1 << 18, 1 << 18
+SOURCES = 1_000_000
+SHARDS, SHARD_WORDS = 8, 4_000_000  # the least number of shards, and the words of one where there are more
+PARTITIONS = 20_000
+#: Own columns, under names that tables don't have.
+MIX, BLOCK, SUB, MANY, CHOSEN, COPY, PARTLY, SHARD = (f"_mix_{x}" for x in ("source", "block", "sub", "many", "chosen", "copy", "partly", "shard"))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -103,72 +112,75 @@ def split(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nda
     return begin, quota
 
 
-def keyed(df: DataFrame, key: str, source: str, seed: int) -> DataFrame:
-    """df with the columns _mix (the source, never null), _block and _sub."""
-    h = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), F.col(key)), F.lit(BLOCKS)).cast("int")
-    return df.withColumn("_mix", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("none"))).withColumn("_block", h(0)).withColumn("_sub", h(1))
+def blocks_of(words: int) -> int:
+    """The number of blocks of a source of so many words."""
+    return min(MOST_BLOCKS, max(BLOCKS, 1 << ceil(words / BLOCK_WORDS).bit_length()))
 
 
 class Plan:
-    """targets, by source; blocks (_mix, _block, copies, partly); subs (_mix, _block, _sub) of the blocks drawn in part."""
+    """targets and totals, by source; blocks (MIX, BLOCK, copies, partly, draw); subs (MIX, BLOCK, SUB) of the blocks drawn in part."""
 
     def __init__(self, sized: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 17, **how):
-        self.seed, self.key, self.source = seed, key, source
-        placed = keyed(sized, key, source, seed)
-        by_block = cut(placed.groupBy("_mix", "_block").agg(F.sum("size").alias("words")), "blocks")
-        self.totals = {r["_mix"]: r["n"] for r in by_block.groupBy("_mix").agg(F.sum("words").alias("n")).collect()}
+        self.seed, self.key, self.source, self.spark = seed, key, source, sized.sparkSession
+        per_source = sized.select(named_source(source).alias(MIX), "size").groupBy(MIX).agg(F.sum("size").alias("n"))
+        found = per_source.limit(SOURCES + 1).collect()
+        if len(found) > SOURCES:
+            raise ValueError(f"more than {SOURCES} sources")
+        self.totals = {r[MIX]: r["n"] for r in found}
         named = {None if k == "none" else k[1:]: k for k in self.totals}
-        found = targets({n: self.totals[k] for n, k in named.items()}, **how)
-        self.targets = {named[n]: t for n, t in found.items()}
-        totals, aim = dict(self.totals), dict(self.targets)
+        self.targets = {named[n]: t for n, t in targets({n: self.totals[k] for n, k in named.items()}, **how).items()}
+        rows = [(k, int(n), float(self.targets[k]), blocks_of(n)) for k, n in self.totals.items()]
+        self.sources = small(cut(self.spark.createDataFrame(rows, f"{MIX} string, source_size long, target double, {MANY} int"), "sources"))
+        placed = self.placed(sized.select(key, source, "size"))
+        by_block = placed.groupBy(MIX, BLOCK).agg(F.sum("size").alias("words")).join(self.sources.select(MIX, "source_size", "target"), MIX)
 
         def choose(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            (mix,) = keys
-            rows = rows.iloc[np.argsort([hash_of(seed, mix, b) for b in rows["_block"]], kind="stable")]
-            each = int(aim[mix] // totals[mix]) if totals[mix] else 0
-            taken = greedy(rows["words"].to_numpy(), aim[mix] - each * totals[mix])
-            left = aim[mix] - each * totals[mix] - rows["words"].to_numpy()[taken].sum()
+            rows = rows.iloc[np.argsort([hash_of(seed, keys[0], b) for b in rows[BLOCK]], kind="stable")]
+            words, total, aim = rows["words"].to_numpy(), int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
+            each = int(aim // total) if total else 0
+            taken = greedy(words, aim - each * total)
+            left = aim - each * total - words[taken].sum()
             rows = rows.assign(copies=each + taken.astype(int), partly=False, room=float(left), draw=np.arange(len(rows)))
             skipped = np.flatnonzero(~taken)
             if left > 0 and len(skipped):
-                rows.iloc[skipped[rows["words"].to_numpy()[skipped].argmin()], rows.columns.get_loc("partly")] = True
-            return rows[["_mix", "_block", "words", "copies", "partly", "room", "draw"]]
+                rows.iloc[skipped[words[skipped].argmin()], rows.columns.get_loc("partly")] = True
+            return rows[[MIX, BLOCK, "copies", "partly", "room", "draw"]]
 
-        self.blocks = cut(by_block.groupBy("_mix").applyInPandas(choose, "_mix string, _block int, words long, copies int, partly boolean, room double, draw int"), "choice")
-        partly = self.blocks.filter("partly").select("_mix", "_block", "room")
+        self.blocks = cut(by_block.groupBy(MIX).applyInPandas(choose, f"{MIX} string, {BLOCK} int, copies int, partly boolean, room double, draw int"), "choice")
+        partly = self.blocks.filter("partly").select(MIX, BLOCK, "room")  # one row a source
 
         def finish(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.iloc[np.argsort([hash_of(seed + 1, keys[0], b) for b in rows["_sub"]], kind="stable")]
+            rows = rows.iloc[np.argsort([hash_of(seed + 1, keys[0], b) for b in rows[SUB]], kind="stable")]
             words, room = rows["words"].to_numpy(), float(rows["room"].iloc[0])
             taken = greedy(words, room)
             left = room - words[taken].sum()
             if (~taken).any():
                 i = np.flatnonzero(~taken)[words[~taken].argmin()]
                 taken[i] = words[i] - left < left
-            return rows[taken][["_mix", "_block", "_sub"]]
+            return rows[taken][[MIX, BLOCK, SUB]]
 
-        parts = placed.join(small(partly), ["_mix", "_block"]).groupBy("_mix", "_block", "_sub").agg(F.sum("size").alias("words"), F.max("room").alias("room"))
-        self.subs = cut(parts.groupBy("_mix", "_block").applyInPandas(finish, "_mix string, _block int, _sub int"), "subs").withColumn("chosen", F.lit(True))
+        parts = placed.join(small(partly), [MIX, BLOCK]).groupBy(MIX, BLOCK, SUB).agg(F.sum("size").alias("words"), F.max("room").alias("room"))
+        self.subs = cut(parts.groupBy(MIX, BLOCK).applyInPandas(finish, f"{MIX} string, {BLOCK} int, {SUB} int"), "subs").withColumn(CHOSEN, F.lit(True))
 
-    def taken(self, sized: DataFrame) -> DataFrame:
-        """sized with source_size, target and taken."""
-        placed = keyed(sized, self.key, self.source, self.seed)
-        spark = sized.sparkSession
-        per_source = small(cut(spark.createDataFrame([(k, int(n), float(self.targets[k])) for k, n in self.totals.items()], "_mix string, source_size long, target double"), "targets"))
-        joined = placed.join(small(self.blocks.select("_mix", "_block", "copies")), ["_mix", "_block"], "left").join(small(self.subs), ["_mix", "_block", "_sub"], "left").join(per_source, "_mix", "left")
-        times = F.coalesce("copies", F.lit(0)) + F.coalesce(F.col("chosen"), F.lit(False)).cast("int")
-        return joined.withColumn("taken", F.col("size") * times).drop("_mix", "_block", "_sub", "copies", "chosen")
+    def placed(self, df: DataFrame) -> DataFrame:
+        """df with the columns MIX (the source, never null), BLOCK and SUB."""
+        h = lambda k: F.xxhash64(F.lit(self.seed + k), F.col(self.key))
+        mixed = df.withColumn(MIX, named_source(self.source)).join(self.sources.select(MIX, MANY), MIX)
+        return mixed.withColumn(BLOCK, F.pmod(h(0), F.col(MANY)).cast("int")).withColumn(SUB, F.pmod(h(1), F.lit(BLOCKS)).cast("int")).drop(MANY)
+
+    def shards(self, shard_words: int = SHARD_WORDS) -> int:
+        """How many shards the mix has: by words, and no more than a quarter of the draws."""
+        draws = self.blocks.agg(F.sum(F.col("copies") + F.col("partly").cast("int"))).first()[0] or 0
+        return max(1, min(max(SHARDS, ceil(sum(self.targets.values()) / shard_words)), draws // 4))
 
     def draws(self, shards: int) -> DataFrame:
-        """(_mix, _block, copy, partly, shard): every draw of a block."""
-        spark, seed = self.blocks.sparkSession, self.seed
-        # a source's draws: pass by pass over its permuted blocks, those drawn in part last
-        every = self.blocks.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies") + F.col("partly").cast("int")))).filter("copy <= copies or (partly and copy = copies + 1)")
-        every = every.filter(F.col("copies") + F.col("partly").cast("int") > 0).withColumn("last", F.col("partly") & (F.col("copy") > F.col("copies"))).select("_mix", "_block", "copy", F.col("last").alias("partly"), "draw")
-        from pyspark.sql import Window
-
-        every = cut(every.withColumn("nth", F.row_number().over(Window.partitionBy("_mix").orderBy("partly", "copy", "draw")) - 1), "draws")
-        quota = {r["_mix"]: r["n"] for r in every.groupBy("_mix").agg(F.count("*").alias("n")).collect()}
+        """(MIX, BLOCK, COPY, PARTLY, SHARD): every draw of a block, by the shard of the tree that makes it."""
+        seed = self.seed
+        # a source's draws: pass by pass over its permuted blocks, the one drawn in part last
+        times = F.col("copies") + F.col("partly").cast("int")
+        every = self.blocks.filter(times > 0).withColumn(COPY, F.explode(F.sequence(F.lit(1), times))).withColumn(PARTLY, F.col("partly") & (F.col(COPY) > F.col("copies")))
+        every = cut(every.withColumn("nth", F.row_number().over(Window.partitionBy(MIX).orderBy(PARTLY, COPY, "draw")) - 1).select(MIX, BLOCK, COPY, PARTLY, "nth"), "draws")
+        quota = {r[MIX]: r["n"] for r in every.groupBy(MIX).agg(F.count("*").alias("n")).collect()}
         names = sorted(quota)
         counts = np.array([quota[n] for n in names], np.int64)
 
@@ -176,19 +188,31 @@ class Plan:
             for f in frames:
                 for shard in f["id"].tolist() if names else ():
                     begin, n = split(counts, shards, shard, seed)
-                    yield pd.DataFrame({"shard": shard, "_mix": names, "begin": begin, "n": n})
+                    yield pd.DataFrame({SHARD: shard, MIX: names, "begin": begin, "n": n})
+
+        runs = self.spark.range(shards).mapInPandas(walk, f"{SHARD} long, {MIX} string, begin long, n long").filter("n > 0")
+        owned = runs.select(SHARD, MIX, F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)).alias("nth"))
+        return cut(every.join(owned, [MIX, "nth"]).select(MIX, BLOCK, COPY, PARTLY, SHARD), "owned")
 
-        runs = spark.range(shards).mapInPandas(walk, "shard long, _mix string, begin long, n long").filter("n > 0")
-        owned = runs.select("shard", "_mix", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)).alias("nth"))
-        return cut(every.join(owned, ["_mix", "nth"]).select("_mix", "_block", "copy", "partly", "shard"), "owned")
+    def taken(self, sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+        """sized with source_size, target and taken: a document's words as often as shards of the tree draw it."""
+        owned = self.draws(self.shards(shard_words)).groupBy(MIX, BLOCK).agg(F.count_if(~F.col(PARTLY)).alias(COPY), F.count_if(PARTLY).alias(PARTLY))
+        rows = self.placed(sized.drop("source_size", "target", "taken")).join(small(cut(owned, "taken")), [MIX, BLOCK], "left").join(small(self.subs), [MIX, BLOCK, SUB], "left")
+        times = F.coalesce(COPY, F.lit(0)) + F.when(F.col(CHOSEN), F.coalesce(PARTLY, F.lit(0))).otherwise(0)
+        return rows.join(self.sources.drop(MANY), MIX, "left").withColumn("taken", F.col("size") * times).drop(MIX, BLOCK, SUB, COPY, PARTLY, CHOSEN)
 
-    def mixed(self, df: DataFrame, words_per_shard: int = 4_000_000) -> DataFrame:
+    def mixed(self, df: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         """A row of df for each time that the mix takes it, with copy, shard and place, sorted within shards."""
-        shards = max(1, ceil(sum(self.targets.values()) / words_per_shard))
-        placed = keyed(df.drop("copy", "shard", "place"), self.key, self.source, self.seed)
-        rows = placed.join(small(self.draws(shards)), ["_mix", "_block"]).join(small(self.subs), ["_mix", "_block", "_sub"], "left")
-        rows = rows.filter(~F.col("partly") | F.col("chosen")).withColumn("place", F.xxhash64(F.lit(self.seed + 2), "shard", self.key, "copy"))
-        return rows.drop("_mix", "_block", "_sub", "partly", "chosen").repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "place")
+        shards = self.shards(shard_words)
+        rows = self.placed(df.drop("copy", "shard", "place")).join(small(self.draws(shards)), [MIX, BLOCK]).join(small(self.subs), [MIX, BLOCK, SUB], "left")
+        rows = rows.filter(~F.col(PARTLY) | F.col(CHOSEN)).withColumn("place", F.xxhash64(F.lit(self.seed + 2), SHARD, self.key, COPY))
+        named = rows.drop(MIX, BLOCK, SUB, PARTLY, CHOSEN).withColumnsRenamed({COPY: "copy", SHARD: "shard"})
+        parts = min(shards, PARTITIONS)
+        return named.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "place")
+
+
+def named_source(source: str) -> F.Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("none"))
 
 
 def hash_of(seed: int, mix: str, n: int) -> int:
