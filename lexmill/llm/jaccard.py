@@ -6,13 +6,16 @@ one of most rows whose bands find a pair at the threshold with probability `reca
 
 1. One pass over the texts gives each document a digest of its n-gram set and its band hashes. Equal sets are one class, whose
    representative is the smallest id; from here on there is one node per class, with the number of its documents.
-2. A shuffle on (band, hash) finds buckets of two nodes or more; what buckets connect becomes a group. A bucket yields one edge per
-   member, to its smallest, never pairs.
-3. The n-gram sets of grouped nodes are built from the whole texts and dealt out in tiles: a group of m nodes makes
-   ceil(m / TILE) blocks, and each pair of blocks is one task, that counts common n-grams of all its pairs by sparse
-   products. Every pair of a group is compared, so large groups of near copies lose no link; nothing is capped or sampled.
+2. A shuffle on (band, hash) finds buckets of two nodes or more. A node's home is the largest of its buckets, so a group of near copies
+   has few homes. Homes that meet in a bucket are to be compared, each pair of homes once, however many buckets they share; homes without
+   a common bucket are not, so texts that hang together only through others cost nothing.
+3. The n-gram sets of nodes in buckets are built from the whole texts and dealt out in tiles: a home of m nodes makes blocks of about
+   TILE nodes or TILE_BYTES bytes, and each pair of blocks of two homes to compare is one task, that counts common n-grams of all its pairs by
+   sparse products. All pairs of nodes with a common bucket are among them, so large groups of near copies lose no link; nothing is
+   capped or sampled.
 4. Tiles give each node the number of documents it is linked to and the edges of a spanning forest of its links; those
    edges' components are the classes of the result.
+Keys that many rows share (hubs of stars, sets with many copies, large classes) are few and broadcast instead of shuffled.
 
 Output: class_id (the smallest id among all documents connected by links), copy_of (the smallest id of an equal n-gram set) and n_links, the
 number of other documents with a similarity of the threshold or more, copies included.
@@ -33,9 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small, small_batches, words
+from .common import cut, slices, small, small_batches, spread_join, words
 
-TILE = 256
+TILE, TILE_BYTES = 256, 16 << 20
+HEAVY = 1000  # rows of a key that is not shuffled; more, where there are more than HEAVY * HEAVY * 100 rows
+NODE, BANDS, SIZE = "_jaccard_node", "_jaccard_bands", "_jaccard_size"  # own columns, under names that tables don't have
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,40 +122,46 @@ def digest(grams: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(grams.tobytes()) if len(grams) else ""
 
 
+def heavy_from(rows: int) -> int:
+    """From how many rows on a key is heavy, so that there are at most 100,000 heavy keys."""
+    return max(HEAVY, rows // 100_000)
+
+
 def signatures(df: DataFrame, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """df with node (a digest of the n-gram set, '' for none) and bands instead of its text."""
+    """df with NODE (a digest of the n-gram set, '' for none), SIZE (of the set) and BANDS instead of its text; no BANDS, if bands is 0."""
     small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name not in (text, "node", "bands")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["node string", "bands array<long>"])
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{NODE} string", f"{SIZE} long"] + [f"{BANDS} array<long>"] * bool(bands))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Hashes(bands, rows)
         for b in slices(batches, text):
             grams, at = ngram_sets(b.column(text), size)
-            h = family.of(grams, at)
-            nodes = pa.array([digest(grams[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * bands), pa.array(h.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [nodes, lists], [*[f.name for f in kept], "node", "bands"])
+            made = [pa.array([digest(grams[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.string()), pa.array(np.diff(at))]
+            if bands:
+                h = family.of(grams, at)
+                made.append(pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * bands), pa.array(h.ravel())))
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + made, [*[f.name for f in kept], NODE, SIZE, BANDS][: len(kept) + len(made)])
 
     return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of edges (a, b): each node's root is the smallest of its component. Alternates large
-    and small stars, whose number grows with the logarithm of a component's size, until nothing changes."""
+    and small stars, whose number grows with the logarithm of a component's size, until nothing changes. Hubs stay out of the shuffles."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = cut(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "stars")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        kept = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(kept.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, least = now, heavy_from(now[0])
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "low")
+        large = cut(spread_join(both.filter("b > a"), low, "a", F.col("n") >= least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "stars")
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        kept = spread_join(large, low, "a", F.col("n") >= least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(kept.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     roots = edges.select(F.col("b").alias("node")).distinct().join(edges.select(F.col("a").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
@@ -189,52 +200,78 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Classes:
+    """signed (the rows without texts, with NODE) and known (node, first, copies, n, root, low: the smallest id of a class), one row a node."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, size: int, threshold: float, recall: float, hashes: int):
+        bands, rows = banding(threshold, recall, hashes)
+        self.signed = cut(signatures(df, text, size, bands, rows), "signed")
+        self.nodes = cut(self.signed.groupBy(F.col(NODE).alias("node")).agg(F.min(key).alias("first"), F.count("*").alias("copies"), F.first(BANDS).alias("bands"), F.first(SIZE).alias("size")), "nodes")
+        links, final = verify(df.select(key, text), key, text, size, threshold, *self.homes())
+        # the smallest id of each class, null ids last
+        member = cut(final.join(self.nodes.select("node", "first"), "node"), "classes")
+        by_root = cut(member.groupBy("root").agg(F.min("first").alias("low"), F.min(F.struct(F.col("first").isNull(), "first", "node")).getField("node").alias("keeper"), F.count("*").alias("m")), "roots")
+        least = heavy_from(member.count())
+        low = spread_join(member.select("node", "root"), by_root, "root", F.col("m") >= least).drop("m")
+        counted = links.groupBy("node").agg(F.sum("n").alias("n"))
+        self.known = cut(self.nodes.select("node", "first", "copies").join(counted, "node", "left").join(low, "node", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "low": F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")), "keeper": F.coalesce("keeper", "node")}), "known")
+
+    def homes(self) -> tuple[DataFrame, DataFrame]:
+        """((node, first, copies, home, blocks, block) of nodes in buckets of two or more; (a, b): homes to compare, a <= b)."""
+        placed = cut(self.nodes.filter("node <> ''").select("node", "first", "copies", "size", F.posexplode("bands").alias("band", "hash")).select("node", "first", "copies", "size", F.xxhash64("band", "hash").alias("bucket")), "placed")
+        buckets = cut(placed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+        shared = cut(spread_join(placed, buckets, "bucket", F.col("m") >= heavy_from(placed.count())), "shared")
+        home = shared.groupBy("node").agg(F.first("first").alias("first"), F.first("copies").alias("copies"), F.first("size").alias("size"), F.max(F.struct("m", "bucket")).getField("bucket").alias("home"), F.collect_set("bucket").alias("buckets"))
+        home = cut(home, "homes")
+        blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(8 * F.sum("size") / TILE_BYTES)).cast("int")
+        sizes = cut(home.groupBy("home").agg(F.count("*").alias("m"), blocks.alias("blocks")), "sizes")
+        member = spread_join(home.drop("buckets"), sizes, "home", F.col("m") >= heavy_from(home.count()))
+        member = cut(member.select("node", "first", "copies", "home", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
+        # a bucket whose members have k homes gives k * k / 2 pairs; as each of these homes is as large as the bucket, k is small
+        met = home.select("home", F.explode("buckets").alias("bucket")).distinct()
+        met = met.groupBy("bucket").agg(F.array_sort(F.collect_set("home")).alias("h"))
+        other = F.transform("h", lambda x, i: F.struct(x.alias("a"), F.slice("h", i + 1, F.size("h") - i).alias("bs")))
+        pairs = met.filter(F.size("h") > 1).select(F.explode(other).alias("x")).select("x.a", F.explode("x.bs").alias("b")).filter("a <> b")
+        own = sizes.select(F.col("home").alias("a"), F.col("home").alias("b"))
+        return member, cut(pairs.unionByName(own).distinct(), "pairs")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128) -> DataFrame:
     """df without its text and with class_id, copy_of and n_links."""
-    bands, rows = banding(threshold, recall, hashes)
-    signed = cut(signatures(df.select(key, text), text, size, bands, rows), "signed")
-    nodes = cut(signed.groupBy("node").agg(F.min(key).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    # buckets: one edge for each member, to the smallest
-    placed = nodes.filter("node <> ''").select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = placed.groupBy("band", "hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "hash", "low")
-    edges = placed.join(buckets, ["band", "hash"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = cut(components(edges), "groups")
-    links, final = verify(df, key, text, size, threshold, groups, nodes)
-    classes = nodes.select("node", "first", "copies").join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = classes.groupBy("root").agg(F.min("first").alias("class_id"))
-    known = classes.join(lowest, "root").select("node", "class_id", F.col("first").alias("copy_of"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    return signed.drop("bands").join(known, "node").drop("node")
-
-
-def verify(df: DataFrame, key: str, text: str, size: int, threshold: float, groups: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    c = Classes(df.drop(*[x for x in ("class_id", "copy_of", "n_links") if x not in (key, text)]), key, text, size, threshold, recall, hashes)
+    known = c.known.select(F.col("node").alias(NODE), F.col("low").alias("class_id"), F.col("first").alias("copy_of"), (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").alias("_jaccard_copies"))
+    return spread_join(c.signed.drop(BANDS, SIZE), cut(known, "known"), NODE, F.col("_jaccard_copies") >= heavy_from(c.signed.count())).drop(NODE, "_jaccard_copies")
+
+
+def verify(texts: DataFrame, key: str, text: str, size: int, threshold: float, member: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, n): documents linked to a node, by tile; (node, root): components of links)."""
-    member = groups.join(nodes.select("node", "first", "copies"), "node")
-    counted = member.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
-    member = cut(member.join(counted, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     # texts of the representatives: found by id, told from other texts of the same id by their node
-    wanted = member.select(F.col("first").alias(key), "node", "copies", "root", "blocks", "block")
-    texts = df.select(key, text).join(small(wanted), df[key].eqNullSafe(wanted[key])).select(text, "node", "copies", "root", "blocks", "block")
+    wanted = small(cut(member.select(F.col("first").alias("_jaccard_first")).distinct(), "wanted"))
+    found = texts.join(wanted, F.col(key).eqNullSafe(F.col("_jaccard_first")), "left_semi").select(text)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             grams, at = ngram_sets(b.column(text), size)
-            for i, node in enumerate(b.column("node").to_pylist()):
-                own = grams[at[i] : at[i + 1]]
-                if digest(own) == node:
-                    yield pa.RecordBatch.from_arrays([b.column(c).slice(i, 1) for c in ("node", "copies", "root", "blocks", "block")] + [pa.array([own.tobytes()], pa.binary())], ["node", "copies", "root", "blocks", "block", "grams"])
-
-    sets = cut(texts.mapInArrow(build, "node string, copies long, root string, blocks int, block int, grams binary"), "sets").dropDuplicates(["node"])
-    # block b of n meets block b itself and all others: tile (i, j) with i <= j
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))))
-    tiled = sets.withColumn("t", pair).select("node", "copies", "root", "block", "grams", "t.i", "t.j")
+            own = [grams[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.string()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "grams"])
+
+    sets = cut(found.mapInArrow(build, "node string, grams binary").dropDuplicates(["node"]).join(member.drop("first"), "node"), "sets")
+    # a node meets the other blocks of its own home (tiles i <= j), and all blocks of other homes
+    home = sets.select("home", "blocks").distinct()
+    left = pairs.join(home.select(F.col("home").alias("a"), F.col("blocks").alias("na")), "a").join(home.select(F.col("home").alias("b"), F.col("blocks").alias("nb")), "b")
+    meets = cut(left.select(F.col("a").alias("home"), F.lit(False).alias("right"), "a", "b", F.col("nb").alias("others")).unionByName(left.filter("a <> b").select(F.col("b").alias("home"), F.lit(True).alias("right"), "a", "b", F.col("na").alias("others"))), "meets")
+    numbers = F.sequence(F.lit(0), F.col("others") - 1)
+    tile = F.when(F.col("a") == F.col("b"), F.transform(numbers, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
+    tile = tile.when(F.col("right"), F.transform(numbers, lambda j: F.struct(j.alias("i"), F.col("block").alias("j")))).otherwise(F.transform(numbers, lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
+    tiled = sets.join(small(meets), "home").withColumn("t", F.explode(tile)).select("node", "copies", (F.col("right") | (F.col("block") == F.col("t.j")) & (F.col("a") == F.col("b")) & (F.col("t.i") < F.col("t.j"))).alias("right"), "grams", "a", "b", "t.i", "t.j")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.sort_values(["block", "node"], kind="stable")
+        same = rows["a"].iloc[0] == rows["b"].iloc[0] and rows["i"].iloc[0] == rows["j"].iloc[0]
+        rows = rows.sort_values(["right", "node"], kind="stable")
         names, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
         sets_ = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
-        half = 0 if i == j else int((rows["block"] == i).sum())
-        if len(sets_) < 2 or (i != j and half in (0, len(sets_))):
+        half = 0 if same else int((~rows["right"]).sum())
+        if len(sets_) < 2 or (not same and half in (0, len(sets_))):
             return pd.DataFrame({"node": names[:0], "n": copies[:0], "low": names[:0]})
         found = linked(sets_, half, threshold)
         links = np.zeros((len(names), len(names)), bool)
@@ -246,11 +283,22 @@ def verify(df: DataFrame, key: str, text: str, size: int, threshold: float, grou
             np.fill_diagonal(links, False)
         return pd.DataFrame({"node": names, "n": links.astype(np.int64) @ copies, "low": names[forest(links)]})
 
-    done = cut(tiled.groupBy("root", "i", "j").applyInPandas(compare, "node string, n long, low string"), "tiles")
+    done = cut(tiled.groupBy("a", "b", "i", "j").applyInPandas(compare, "node string, n long, low string"), "tiles")
     return done.select("node", "n"), components(done.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of df whose document is the smallest of its class; of rows with that id, all. Rows with a null id stay."""
-    gone = join(df, key, text, **how).filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    return df.join(small(cut(gone, "gone")), key, "left_anti")
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128) -> DataFrame:
+    """One row of df for each class, with df's columns: of the rows with the class's smallest id (null ids last), that whose n-gram set has the
+    smallest digest, and one of those that are equal in both. Ids that one row has are judged by id; rows of repeated ids by their set, too."""
+    c = Classes(df.select(key, text), key, text, size, threshold, recall, hashes)
+    times = cut(c.signed.groupBy(key).agg(F.count("*").alias("n")), "ids")
+    odd = small(cut(times.filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_jaccard_id")), "odd"))
+    keepers = cut(c.known.filter("node = keeper").select(F.col("first").alias("_jaccard_id"), F.col("node").alias("_jaccard_keeper")), "keepers")
+    plain = keepers.join(odd, "_jaccard_id", "left_anti")
+    kept = df.join(small(cut(plain.select("_jaccard_id"), "kept")), F.col(key) == F.col("_jaccard_id"), "left_semi")
+    if odd.isEmpty():
+        return kept
+    shown = "_jaccard_text"
+    rows = signatures(df.join(odd, F.col(key).eqNullSafe(F.col("_jaccard_id")), "left_semi").withColumn(shown, F.col(text)), shown, size, 0, 0)
+    one = rows.dropDuplicates([key, NODE]).join(small(keepers), F.col(key).eqNullSafe(F.col("_jaccard_id")) & (F.col(NODE) == F.col("_jaccard_keeper")), "left_semi")
+    return kept.unionByName(one.select(*df.columns))
