@@ -1,24 +1,27 @@
 """Toxicity scores by a support vector machine over a gap-weighted subsequence kernel with Nyström landmarks.
 
-Unit of evidence: the letters of a white-space separated chunk (accents and other characters dropped, digits that stand for
-letters replaced), or of a run of three or more chunks of one letter each, as in `i d i o t`. Units longer than WIDTH
-letters become overlapping windows. A sentence is as toxic as its worst unit, a text as its worst sentence.
-
-Kernel: k(s, t) sums, over all subsequences u of three letters, phi_u(s) * phi_u(t), where phi_u(s) adds DECAY ** span for
-each place of u in s, gaps included; it is normalised by sqrt(k(s, s) k(t, t)). Inserted or dropped letters thus
-weaken a match and don't end it. Nyström: with landmarks L (witnesses and the
+Unit of evidence: the letters of a white-space separated chunk, between marks of its beginning and end (an accent becomes a sign after its
+letter, other characters are dropped, digits that stand for letters replaced), or of a run of two or more chunks of one letter each, as
+in `i d i o t` or `i - d - i - o - t`: chunks without letters don't end a run. Units longer than WIDTH signs become overlapping
+windows, so that any WIDTH - STRIDE signs in a row stand in one. A sentence is as toxic as its worst unit, a text as its worst sentence.
+Words cut into longer pieces, as in `idi ot`, are not joined.
+
+Kernel: k(s, t) sums, over the LENGTHS of subsequences, the products of phi_u(s) * phi_u(t) over all subsequences u of so many signs, where
+phi_u(s) adds DECAY ** span for each place of u in s, gaps included; each length is normalised by sqrt(k(s, s) k(t, t)) of its own.
+Inserted or dropped letters thus weaken a match and don't end it. Nyström: with landmarks L (witnesses and the
 worst innocent units, chosen for being unlike each other) and K = k(L, L), a unit's features are k(x, L) K^(-1/2), on
 which a linear machine with squared hinge loss is fitted by Newton steps. As the kernel is a sum over subsequences, the
 decision function sum_i b_i k(x, l_i) equals one table of weights per subsequence, by which all text is scored.
 
 Training: sentences of labelled documents. A document's label says only that some sentence is toxic, so units that set
 toxic documents apart are taken as witnesses first, then, round by round, the worst unit of each toxic document; units of
-other documents are negative, the worst of them joining in each round. Witnesses with one letter inserted are positive, too.
-Bounds: `documents` labelled documents of either class at most, those with the smallest hashes of their key.
+other documents are negative, the worst of them joining in each round. Witnesses with one letter inserted are positive, too, as often as
+the witness itself is found.
+Bounds: `documents` labelled documents of either class at most, those with the smallest hashes of their key, and `letters` of their texts;
+texts that no longer fit are left out.
 
 Null and empty texts, and texts without a unit of three letters, get the score of no evidence. Without labels of both classes
-every score is 0. Labels that repeat count each time, null labels not at all. Extra columns pass through; own columns
-score and predicted are replaced.
+every score is 0. An id counts once, with its highest label and the text that sorts first; null labels don't count. Extra columns pass through; own columns score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -31,28 +34,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import bounded_sample, Shared, slices, small_batches, words
+from .common import labelled_texts, Shared, slices, small_batches, words
 
-WIDTH, STRIDE = 20, 10
+WIDTH, STRIDE = 20, 6
+SHORT = 1  # letters of chunks that make runs
 DECAY = 0.6
+LENGTHS = (3, 4)
+NOISY = 1.0  # what witnesses with an inserted letter weigh, in all, beside the witnesses
 CODES = 32
-START = 31  # stands before the first letter of a unit, so that subsequences may be tied to the beginning
+START, END, ACCENT = 31, 30, 29  # stand before the first letter of a unit, after its last one, and after a letter with an accent
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"}  # fixed values
 
 
 def fold_table() -> np.ndarray:
-    """A code for each code point below U+0250: 1 to 26 for a to z with any accent, 27 to 30 for other letters, 0 for the rest."""
+    """A code for each code point below U+0250: 1 to 26 for a to z, that plus 32 for those with an accent, 27 and 28 for other letters, 0 for the rest."""
     table = np.zeros(0x250, np.uint8)
     for cp in range(0x250):
         ch = LOOKALIKE.get(chr(cp), chr(cp)).lower()
-        base = unicodedata.normalize("NFD", ch)[:1]
-        if "a" <= base <= "z":
-            table[cp] = ord(base) - 96
+        parts = unicodedata.normalize("NFD", ch)
+        if "a" <= parts[:1] <= "z":
+            table[cp] = ord(parts[0]) - 96 + 32 * (len(parts) > 1)
         elif ch.isalpha():
-            table[cp] = 27 + cp % 4
+            table[cp] = 27 + cp % 2
     return table
 
 
@@ -60,18 +65,25 @@ FOLD = fold_table()
 
 
 def fold(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all strings, one after the other, with START before each that has any, and how many each has. Letters beyond the table have one of four codes."""
+    """Codes of all strings, one after the other, and how many each has. A string that has any letters stands between START and END, and
+    ACCENT follows a letter that has one. Letters beyond the table have one of two codes."""
     points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
     code = FOLD[np.minimum(points, 0x24F)]
     far = points >= 0x250
-    code[far] = 27 + points[far] % 4
+    code[far] = 27 + points[far] % 2
     n = np.fromiter(map(len, strings), np.int64, len(strings))
     owner = np.repeat(np.arange(len(strings)), n)
     keep = code > 0
     code, owner = code[keep], owner[keep]
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
-    code = np.insert(code, first, START)
-    return code, np.bincount(np.insert(owner, first, owner[first]), minlength=len(strings))
+    last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
+    first = np.concatenate(([True], last[:-1])) if len(owner) else last
+    size = 1 + (code > 32) + first + last  # codes that a letter makes
+    at = np.cumsum(size) - size + first
+    out = np.full(int(size.sum()), ACCENT, np.uint8)
+    out[at] = code & 31
+    out[at[first] - 1] = START
+    out[(np.cumsum(size) - 1)[last]] = END
+    return out, np.bincount(np.repeat(owner, size), minlength=len(strings))
 
 
 class Units:
@@ -83,7 +95,7 @@ class Units:
         start = np.cumsum(n) - n
         self.n_texts = len(texts)
         # windows: a row (start, length) of flat for each; long chunks have several
-        more = np.where(n > WIDTH, -(-(n - WIDTH) // STRIDE) + 1, 1) * (n > 3)
+        more = np.where(n > WIDTH, -(-(n - WIDTH) // STRIDE) + 1, 1) * (n > 4)
         chunk = np.repeat(np.arange(len(n)), more)
         k = ranges(np.zeros(len(n), np.int64), more)
         self.start = start[chunk] + np.minimum(k * STRIDE, np.maximum(n[chunk] - WIDTH, 0))
@@ -91,21 +103,25 @@ class Units:
         self.flat = flat
         self.chunk = chunk
         self.codes, self.offsets, self.n_chunks = codes, offsets, len(n)
-        # runs of chunks of one letter: pieces of a further string, one run after the other
-        one = (n == 2)[codes]
+        # runs of short chunks: pieces of a further string, one run after the other; chunks without letters neither end a run nor belong to it
+        self.run_text = np.zeros(0, np.int64)
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        lettered = np.flatnonzero(n[codes] > 0)
+        codes, text = codes[lettered], text[lettered]
+        one = (n[codes] - 2 <= SHORT) if len(codes) else np.zeros(0, bool)
         same = np.concatenate((one[1:] & one[:-1] & (text[1:] == text[:-1]), [False])) if len(one) else one
         first = np.flatnonzero(one & ~np.concatenate(([False], same[:-1]))) if len(one) else np.zeros(0, np.int64)
         last = np.flatnonzero(one & ~same) if len(one) else first
-        long = last - first >= 2
+        upto = np.concatenate(([0], np.cumsum(n[codes] - 2)))
+        long = (last > first) & (upto[last + 1] - upto[first] >= 3)
         first, last = first[long], last[long]
-        self.run_text = np.zeros(0, np.int64)
         if len(first):
-            size = last - first + 1
-            letters = flat[start[codes[ranges(first, size)]] + 1]
+            chunks_ = codes[ranges(first, last - first + 1)]
+            letters = flat[ranges(start[chunks_] + 1, n[chunks_] - 2)]
+            size = upto[last + 1] - upto[first]
             at = np.cumsum(size) - size
-            letters = np.insert(letters, at, START)
-            at, size = at + np.arange(len(at)), size + 1
+            letters = np.insert(letters, np.concatenate((at, at + size)), np.repeat([START, END], len(at)).astype(np.uint8))
+            at, size = at + 2 * np.arange(len(at)), size + 2
             more = np.where(size > WIDTH, -(-(size - WIDTH) // STRIDE) + 1, 1)
             run = np.repeat(np.arange(len(size)), more)
             k = ranges(np.zeros(len(size), np.int64), more)
@@ -156,27 +172,32 @@ class Units:
                 yield part, self.flat[self.start[pick[part]][:, None] + np.arange(n)].astype(np.int32)
 
 
-def triples(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:  # noqa: B006
-    """All i < j < k below n and DECAY ** (k - i + 1)."""
-    if n not in cache:
-        i, j, k = (x.ravel() for x in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
-        ok = (i < j) & (j < k)
-        cache[n] = i[ok], j[ok], k[ok], DECAY ** (k[ok] - i[ok] + 1.0)
-    return cache[n]
+def places(n: int, length: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """All ascending places of so many letters below n (a row for each letter), and DECAY ** span."""
+    if (n, length) not in cache:
+        rows = np.arange(n)[None]
+        for _ in range(length - 1):
+            more = n - 1 - rows[-1]
+            rows = np.vstack((np.repeat(rows, more, axis=1), np.repeat(rows[-1] + 1, more) + ranges(np.zeros(len(more), np.int64), more)))
+        cache[n, length] = rows, DECAY ** (rows[-1] - rows[0] + 1.0)
+    return cache[n, length]
 
 
-def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of codes the number of each three-letter subsequence, and the weights of the places."""
-    i, j, k, w = triples(rows.shape[1])
-    return (rows[:, i] * CODES + rows[:, j]) * CODES + rows[:, k], w
+def subsequences(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of codes the number of each subsequence of so many letters, and the weights of the places."""
+    at, w = places(rows.shape[1], length)
+    key = rows[:, at[0]]
+    for k in at[1:]:
+        key = key * CODES + rows[:, k]
+    return key, w
 
 
-def norms(rows: np.ndarray) -> np.ndarray:
-    """sqrt(k(s, s)) of each row, by dynamic programming over pairs of positions."""
+def norms(rows: np.ndarray) -> dict[int, np.ndarray]:
+    """sqrt(k(s, s)) of each row for each length, by dynamic programming over pairs of positions."""
     n = rows.shape[1]
-    match = (rows[:, :, None] == rows[:, None, :]) * DECAY**2
-    part = match
-    for _ in range(2):
+    match = (rows[:, :, None] == rows[:, None, :]) * np.float32(DECAY**2)
+    part, out = match, {}
+    for length in range(2, max(LENGTHS) + 1):
         run = np.zeros_like(part)  # run[i, j]: sum over i' < i, j' < j of part, decayed by the letters between
         for i in range(1, n):
             run[:, i] = DECAY * run[:, i - 1] + part[:, i - 1]
@@ -184,29 +205,58 @@ def norms(rows: np.ndarray) -> np.ndarray:
         for j in range(1, n):
             both[:, :, j] = DECAY * both[:, :, j - 1] + run[:, :, j - 1]
         part = match * both
-    return np.sqrt(part.sum(axis=(1, 2)))
-
-
-def kernel(units: Units, pick: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Normalised products of units with tables of subsequence weights (CODES ** 3 rows, a column for each)."""
-    out = np.zeros((len(pick), tables.shape[1]))
-    for at, rows in units.rows(pick):
-        norm = np.maximum(norms(rows), 1e-12)
-        step = max(1, 4_000_000 // (len(triples(rows.shape[1])[0]) * tables.shape[1]))
-        for s in range(0, len(rows), step):
-            key, w = subsequences(rows[s : s + step])
-            out[at[s : s + step]] = np.einsum("nct,c->nt", tables[key], w.astype(np.float32)) / norm[s : s + step, None]
+        if length in LENGTHS:
+            out[length] = np.maximum(np.sqrt(part.sum(axis=(1, 2))), 1e-12)
     return out
 
 
-def landmark_tables(units: Units, pick: np.ndarray) -> np.ndarray:
-    """A column of normalised subsequence weights for each landmark."""
-    out = np.zeros((CODES**3, len(pick)), np.float32)
-    for at, rows in units.rows(pick):
-        key, w = subsequences(rows)
-        for r, k, norm in zip(at, key, norms(rows), strict=True):
-            np.add.at(out[:, r], k, w / max(norm, 1e-12))
-    return out
+class Table:
+    """Weights of subsequences, a column for each of several functions: a row for each subsequence that any of them knows, row 0 for all others."""
+
+    def __init__(self, units: Units, pick: np.ndarray):
+        """Normalised weights of the picked units themselves."""
+        found: dict[int, list] = {x: [] for x in LENGTHS}
+        for at, rows in units.rows(pick):
+            norm = norms(rows)
+            for x in LENGTHS:
+                key, w = subsequences(rows, x)
+                found[x].append((key.ravel(), np.repeat(at, key.shape[1]), (w[None] / norm[x][:, None]).ravel()))
+        self.row = {x: np.zeros(CODES**x, np.int32) for x in LENGTHS}
+        size, parts = 1, []
+        for x in LENGTHS:
+            key, column, w = (np.concatenate([f[i] for f in found[x]]) if found[x] else np.zeros(0, np.int64) for i in range(3))
+            known, at = np.unique(key, return_inverse=True)
+            self.row[x][known] = size + np.arange(len(known))
+            parts.append((size + at, column, w))
+            size += len(known)
+        self.weights = np.zeros((size, len(pick)), np.float32)
+        for r, c, w in parts:
+            np.add.at(self.weights, (r, c), w)
+
+    def combined(self, by: np.ndarray) -> Table:
+        """One function: the sum of the columns, each times its share."""
+        out = object.__new__(Table)
+        out.row, out.weights = self.row, (self.weights @ by)[:, None].astype(np.float32)
+        return out
+
+    def products(self, units: Units, pick: np.ndarray) -> np.ndarray:
+        """Kernel values of the picked units (rows) with each function (columns)."""
+        columns = self.weights.shape[1]
+        out = np.zeros((len(pick), columns))
+        for at, rows in units.rows(pick):
+            norm = norms(rows)
+            for x in LENGTHS:
+                n = places(rows.shape[1], x)[0].shape[1]
+                step = max(1, (200_000 if columns == 1 else 4_000_000) // max(1, n * columns))
+                for s in range(0, len(rows), step):
+                    key, w = subsequences(rows[s : s + step], x)
+                    index = self.row[x][key]
+                    if columns == 1:
+                        found = self.weights[:, 0][index] @ w.astype(np.float32)
+                        out[at[s : s + step], 0] += found / norm[x][s : s + step]
+                    else:
+                        out[at[s : s + step]] += np.einsum("nct,c->nt", self.weights[index], w.astype(np.float32)) / norm[x][s : s + step, None]
+        return out
 
 
 def newton(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -229,7 +279,7 @@ def newton(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3
 class Model:
     """Weights of subsequences, a constant, and the scale of scores."""
 
-    table: np.ndarray | None = None
+    table: Table | None = None
 
     def fit(self, texts: list[str], labels: np.ndarray, landmarks: int = 64, rounds: int = 6) -> Model:
         labels = np.asarray(labels, bool)
@@ -276,30 +326,33 @@ class Model:
         innocent = common.keys()
         often = np.ones(len(units.start))
         often[good_all] = np.sqrt([common[name(u)] for u in good_all.tolist()])
+        boost = np.ones(len(often))
         for step in range(rounds):
             counts = Counter(name(u) for own in witness for u in own.tolist())
             one = {name(u): u for own in witness for u in own.tolist()}
             keys = [k for k in sorted(counts, key=lambda k: (-counts[k], k)) if k not in innocent] or sorted(counts)
             pos = np.array([one[k] for k in keys])
             pos_w = np.sqrt(np.array([counts[k] for k in keys], float))
-            noisy = units.add([v for k in keys[:300] for v in inserted(k) if v not in innocent])
+            changed = [(v, counts[k]) for k in keys[:300] for v in inserted(k) if v not in innocent]
+            noisy = units.add([v for v, _ in changed])
+            noisy_w = np.array([c for _, c in changed], float)
             marks = np.concatenate((self.choose(units, pos, landmarks), self.choose(units, hard, landmarks)))
-            tables = landmark_tables(units, marks)
-            gram = kernel(units, marks, tables)
+            tables = Table(units, marks)
+            gram = tables.products(units, marks)
             val, vec = np.linalg.eigh((gram + gram.T) / 2)
             ok = val > 1e-4 * val.max()
             half = vec[:, ok] / np.sqrt(val[ok])
             pick = np.concatenate((pos, noisy, good))
             y = np.concatenate((np.ones(len(pos) + len(noisy)), -np.ones(len(good))))
-            weight = np.concatenate((pos_w / pos_w.sum(), np.full(len(noisy), 0.5 / max(1, len(noisy))), 2.0 * often[good] / often[good].sum()))
-            v = newton(kernel(units, pick, tables) @ half, y, weight)
-            self.table = (tables @ (half @ v[:-1])).astype(np.float32)
+            weight = np.concatenate((pos_w / pos_w.sum(), NOISY * noisy_w / max(1, noisy_w.sum()), 2.0 * (often * boost)[good] / (often * boost)[good].sum()))
+            v = newton(tables.products(units, pick) @ half, y, weight)
+            self.table = tables.combined(half @ v[:-1])
             self.constant = float(v[-1])
             if step < rounds - 1:
                 score = self.raw(units)
                 close = good_all[score[good_all] > -0.4]
-                often = np.concatenate((often, np.ones(len(score) - len(often))))
-                often[close] *= 4  # what is mistaken weighs more in the next round
+                often, boost = (np.concatenate((x, np.ones(len(score) - len(x)))) for x in (often, boost))
+                boost[close] *= 4  # what is mistaken weighs more in the next round
                 worst = good_all[np.argsort(-score[good_all], kind="stable")[:3000]]
                 good, hard = np.unique(np.concatenate((good, worst))), worst[:600]
                 witness = [own[(score[own] >= 0.3) | (score[own] == score[own].max())] for own in bad if len(own)]
@@ -308,15 +361,14 @@ class Model:
     def choose(units: Units, pos: np.ndarray, n: int) -> np.ndarray:
         """Landmarks: the first, then always the one least like those chosen."""
         pos = pos[:1000]
-        tables = landmark_tables(units, pos[:1])
-        near = kernel(units, pos, tables)[:, 0]
+        near = Table(units, pos[:1]).products(units, pos)[:, 0] / len(LENGTHS)
         chosen = [0]
         while len(chosen) < min(n, len(pos)):
             nxt = int(near.argmin())
             if near[nxt] > 0.98:
                 break
             chosen.append(nxt)
-            near = np.maximum(near, kernel(units, pos, landmark_tables(units, pos[nxt : nxt + 1]))[:, 0])
+            near = np.maximum(near, Table(units, pos[nxt : nxt + 1]).products(units, pos)[:, 0] / len(LENGTHS))
         return pos[chosen]
 
     def scale(self, top: np.ndarray, labels: np.ndarray) -> None:
@@ -332,14 +384,7 @@ class Model:
 
     def raw(self, units: Units) -> np.ndarray:
         """The decision function of all units."""
-        out = np.full(len(units.start), self.constant)
-        for at, rows in units.rows(np.arange(len(units.start))):
-            norm = np.maximum(norms(rows), 1e-12)
-            step = max(1, 200_000 // len(triples(rows.shape[1])[0]))
-            for s in range(0, len(rows), step):
-                key, w = subsequences(rows[s : s + step])
-                out[at[s : s + step]] += self.table[key] @ w / norm[s : s + step]
-        return out
+        return self.constant + self.table.products(units, np.arange(len(units.start)))[:, 0]
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.table is None:
@@ -393,12 +438,10 @@ def hash_name(b: bytes) -> int:
     return zlib.crc32(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = 1500, letters: int = 20_000_000) -> Model:
     """Learns from the texts of labelled documents."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, (F.col(label) == 1).alias("_label"))
-    sample = bounded_sample(known, key, "_label", documents)
-    rows = docs.select(key, text).join(F.broadcast(sample), key).orderBy(F.xxhash64(key), key, text).collect()
-    return Model().fit([r[text] or "" for r in rows], np.array([r["_label"] for r in rows], bool))
+    texts, known = labelled_texts(docs, labels, key, text, label, documents, letters)
+    return Model().fit(texts, known)
 
 
 def predict(df: DataFrame, model: object, threshold: float = 0.7, text: str = "text", keep_text: bool = True) -> DataFrame:
