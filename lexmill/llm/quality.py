@@ -7,9 +7,10 @@ over the classes follows. Vectors and softmax are learned together by numpy stoc
 mini-batches. As all before the softmax is linear, text is scored by one number per row, the projection of its vector on the
 difference of the classes, so memory is bounded by that table and the slice of texts at hand.
 
-Bounds: `documents` labelled documents of each class at most, those with the smallest hashes of their key.
+Bounds: `documents` labelled documents of each class at most, those with the smallest hashes of their key, and `letters` of their texts;
+texts that no longer fit are left out.
 Null and empty texts have a zero vector and so the score of the softmax's constants. Without labels of both classes every
-score is 0. Null labels are left out, repeated ones count each time. Extra columns pass through; own columns score and
+score is 0. Null labels are left out; an id counts once, with its highest label and the text that sorts first. Extra columns pass through; own columns score and
 predicted are replaced.
 """
 
@@ -18,14 +19,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_sample, words
+from .common import labelled_texts, words
 
-BITS = 16
+BITS = 18
 DIM = 8
 SIZES = (3, 4, 5)
-WIDE = 40  # longer words are hashed by windows of this many letters
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,9 +96,9 @@ class Model:
                 own, times = np.unique(codes[s:e], return_counts=True)
                 n = n_features[own]
                 k = np.arange(n.sum()) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
-                total = np.bincount(row[k], np.repeat(times, n) * weight[k], 1 << BITS) + np.bincount(pairs[s:e], 1.0 / (n_features[codes[s:e]] + 1.0), 1 << BITS)
-                used = np.flatnonzero(total)
-                docs.append((used.astype(np.int32), (total[used] / max(1, e - s)).astype(np.float32)))
+                used, at_ = np.unique(np.concatenate((row[k], pairs[s:e])), return_inverse=True)
+                total = np.bincount(at_, np.concatenate((np.repeat(times, n) * weight[k], 1.0 / (n_features[codes[s:e]] + 1.0))), len(used))
+                docs.append((used.astype(np.int32), (total / max(1, e - s)).astype(np.float32)))
         rng = np.random.default_rng(0)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
         out, const = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -149,9 +148,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(-logit, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", documents: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", documents: int = 2000, letters: int = 20_000_000) -> Model:
     """Learns from the texts of labelled documents."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, (F.col(label) == 1).cast("int").alias("_label"))
-    sample = bounded_sample(known, key, "_label", documents)
-    rows = docs.select(key, text).join(F.broadcast(sample), key).orderBy(F.xxhash64(key), key, text).collect()
-    return Model().fit([r[text] or "" for r in rows], np.array([r["_label"] for r in rows], np.int64))
+    texts, known = labelled_texts(docs, labels, key, text, label, documents, letters)
+    return Model().fit(texts, known)
