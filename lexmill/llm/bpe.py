@@ -3,13 +3,14 @@
 Merging: the ranks of a word's adjacent pairs are the leaves of a segment tree of minima, each leaf holding
 rank * width + position. The root is the leftmost pair of the lowest rank; a merge updates three leaves and the nodes
 above them, and merging ends when the root holds no rank. Trees of many words of like length advance together, as rows of
-one matrix, which changes neither the order of merges within a word nor the result.
+one matrix, which changes neither the order of merges within a word nor the result; a tree that stands alone is a list. Words of more than
+LONG bytes are first cut between bytes that stand side by side in no piece of the vocabulary, as no merge ever joins them.
 
 Words (white-space separated chunks) repeat, so a worker remembers the ids of chunks, up to KNOWN of them; memory is bounded
 by that and by the slice of texts at hand. Only the vocabulary (about 2 MB) travels to executors.
 
-Ids equal the library's for all text of assigned code points; it knows letters of a later Unicode version than Python's tables, so
-some of today's unassigned ones it cuts otherwise.
+Ids equal the library's for every code point (a test asks it): its letters and numbers are those of Unicode 15.1, as Python 3.13 has them,
+and some later ones, stated below.
 Nulls and empty texts have no tokens and decode to ''. A text without white space is one long chunk: exact, only slower.
 Repeated rows repeat; extra columns pass through, and own columns of the same names as outputs are replaced.
 """
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import Shared, slices, small_batches, words
@@ -32,10 +32,41 @@ from .common import Shared, slices, small_batches, words
 #: What counts as white space (as escapes of a character class), and the contractions that are pieces.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
-PIECES = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
+
+
+#: Letters and numbers that the library knows beyond Unicode 15.1, as ranges, and capitals with how far their small letters are.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Marks of Unicode 10 and later, which the library's composition takes for letters of their own.
+NEW_MARKS = [(0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF)]
+NEW_CAPITALS = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+SMALL = {i: i + by for a, b, by in NEW_CAPITALS for i in range(a, b + 1)}
+MARKS = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEW_MARKS) + "])")
+CAPITALS = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+def code_points(kind: str, new: list[tuple[int, int]]) -> str:
+    """The code points of a general category (by its first letter) beyond ASCII and the new ones, as ranges of a character class."""
+    more = {i for a, b in new for i in range(a, b + 1)}
+    inside = [i > 0x7F and (unicodedata.category(chr(i))[0] == kind or i in more) for i in range(0x110000)] + [False]
+    edges = [i for i in range(0x80, 0x110001) if inside[i] != inside[i - 1]]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def piece_pattern() -> re.Pattern:
+    letters, numbers = "a-zA-Z" + code_points("L", NEW_LETTERS), "0-9" + code_points("N", NEW_NUMBERS)
+    return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+
+
+PIECES = piece_pattern()
 ASCII_PIECES = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^" + WHITE + r"a-z0-9]+", re.ASCII)
 NONE = np.int64(2**62)
 CELLS = 1 << 17  # of a matrix of trees
+LONG = 4096  # bytes
+ALONE = 12  # so many trees of one width are cheaper one by one
 KNOWN = 150_000  # chunks whose ids a worker remembers, about 30 MB; then it begins anew
 
 
@@ -78,7 +109,13 @@ class Model:
             while self.keys[s] >= 0:
                 s = s + 1 & (1 << self.bits) - 1
             self.keys[s], self.ranks[s] = k, rank
+        self.beside = np.zeros((256, 256), bool)  # bytes that stand side by side in a piece
+        spelled = {x: b for b, x in enumerate(letters)}
+        for k in vocab:
+            own = np.array([spelled[x] for x in k.removesuffix(end)], np.int64)
+            self.beside[own[:-1], own[1:]] = True
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.pairs: dict[int, int] | None = None
         self.forget()
         self.decimal = np.array([f"{i} ".encode() for i in range(len(self.texts))])
         self.spelled = np.array([f"{t} ".encode() for t in self.texts])
@@ -139,6 +176,53 @@ class Model:
             row = row[tree[top + 1] < NONE]
         return ids.reshape(n, width), alive
 
+    def merge_alone(self, ids: list[int]) -> list[int]:
+        """The same for one word, with its tree as a list."""
+        n = len(ids)
+        shift = max(1, (n - 1).bit_length())
+        width, none = 1 << shift, int(NONE)
+        if self.pairs is None:
+            held = self.keys >= 0
+            self.pairs = dict(zip(self.keys[held].tolist(), self.ranks[held].tolist(), strict=True))
+        rank, made = self.pairs.get, self.made
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            r = rank(ids[i] << 32 | ids[i + 1])
+            if r is not None:
+                tree[width + i] = r << shift | i
+        for i in range(width - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + width
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                node >>= 1
+                if other < value:
+                    value = other
+                if tree[node] == value:
+                    return
+                tree[node] = value
+
+        while tree[1] < none:
+            pos = tree[1] & width - 1
+            new = int(made[tree[1] >> shift])
+            gone = after[pos]
+            nxt, prev = after[gone], before[pos]
+            ids[pos], after[pos], alive[gone] = new, nxt, False
+            put(gone, none)
+            r = None
+            if nxt < n:
+                before[nxt] = pos
+                r = rank(new << 32 | ids[nxt])
+            put(pos, none if r is None else r << shift | pos)
+            if prev >= 0:
+                r = rank(ids[prev] << 32 | new)
+                put(prev, none if r is None else r << shift | prev)
+        return [x for x, a in zip(ids, alive, strict=True) if a]
+
     @staticmethod
     def put(tree: np.ndarray, top: np.ndarray, width: int, leaf: np.ndarray, value: np.ndarray | np.int64) -> None:
         """Sets a leaf of each tree and the minima above it."""
@@ -154,23 +238,44 @@ class Model:
         """Ids of all pieces, one after the other, and how many each has."""
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = self.first[raw]
+        ids[np.cumsum(length)[length > 0] - 1] = self.last[raw[np.cumsum(length)[length > 0] - 1]]
+        if not len(length) or length.max() <= LONG:
+            return self.merged_parts(ids, length)
+        # long pieces fall into parts where their bytes never stand side by side
+        start = np.cumsum(length) - length
+        cuts = [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(length > LONG).tolist():
+            own = raw[start[i] : start[i] + length[i]]
+            cuts.append(start[i] + 1 + np.flatnonzero(~self.beside[own[:-1], own[1:]]))
+        bounds = np.union1d(np.concatenate(([0], np.cumsum(length))), np.concatenate(cuts))
+        flat, n = self.merged_parts(ids, np.diff(bounds))
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return flat, np.diff(upto[np.searchsorted(bounds, np.concatenate((start, [len(raw)])))])
+
+    def merged_parts(self, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of so many ids each."""
         start = np.cumsum(length) - length
-        count = np.zeros(len(pieces), np.int64)
+        count = np.zeros(len(length), np.int64)
         parts, rows = [], []
         width_of = 1 << np.ceil(np.log2(np.maximum(length, 2))).astype(np.int64)
         for width in np.unique(width_of).tolist():
             group = np.flatnonzero(width_of == width)
+            if len(group) <= ALONE and width > 16:
+                for i in group.tolist():
+                    done = self.merge_alone(ids[start[i] : start[i] + length[i]].tolist())
+                    parts.append(np.array(done, np.int64))
+                    rows.append(np.array([i]))
+                    count[i] = len(done)
+                continue
             step = max(1, CELLS // width)
             for at in range(0, len(group), step):
                 g = group[at : at + step]
-                ids = np.zeros((len(g), width), np.int64)
+                cells = np.zeros((len(g), width), np.int64)
                 r = np.repeat(np.arange(len(g)), length[g])
                 k = ranges(start[g], length[g])
-                c = k - np.repeat(start[g], length[g])
-                ids[r, c] = self.first[raw[k]]
-                ends = length[g] - 1
-                ids[np.arange(len(g)), ends] = self.last[raw[start[g] + ends]]
-                done, alive = self.merge(ids, length[g])
+                cells[r, k - np.repeat(start[g], length[g])] = ids[k]
+                done, alive = self.merge(cells, length[g])
                 parts.append(done[alive])
                 rows.append(g)
                 count[g] = alive.sum(axis=1)
@@ -178,7 +283,7 @@ class Model:
             return np.zeros(0, np.int64), count
         order = np.concatenate(rows)
         flat, n = np.concatenate(parts), count[order]
-        from_ = np.zeros(len(pieces), np.int64)
+        from_ = np.zeros(len(length), np.int64)
         from_[order] = np.cumsum(n) - n
         return flat[ranges(from_, count)], count
 
@@ -192,7 +297,12 @@ class Model:
                 low = part.lower()
                 out += [low.encode()] if low.isalpha() else [x.encode() for x in ASCII_PIECES.findall(low)]
             else:
-                part = unicodedata.normalize("NFC", part)
+                if MARKS.search(part):  # nothing composes or is reordered across one of these
+                    part = "".join(unicodedata.normalize("NFC", x) for x in MARKS.split(part))
+                else:
+                    part = unicodedata.normalize("NFC", part)
+                if CAPITALS.search(part):
+                    part = part.translate(SMALL)
                 low = part.lower() if "Σ" not in part else "".join(map(str.lower, part))  # a final sigma stays as it is
                 out += [low.encode()] if low.isalpha() else [x.encode() for x in PIECES.findall(low)]
         return out
