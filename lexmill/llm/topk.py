@@ -7,9 +7,11 @@ them as one row per query block. Lists are merged about FAN at a time, level by
 more than a few FAN lists of one query block, whatever the number of shards.
 
 Products are exact: where the bound dim * max|q| * max|c| is below 2 ** 53 they are taken in doubles, else in integers of any size,
-cut off at the range of long. Ties go to the smaller id; a row never meets candidates with its own id.
+cut off at the range of long. Ties go to the smaller id. A query's own row is no candidate: lists hold one place more until, at
+the end, one entry of the query's id and of its product with itself goes, so other rows of the same id stay.
 Nulls: null vectors, vectors with a null or non-finite component, and null ids take no part; vectors meet
-only those of their own length. Repeated ids are candidates each for itself. Empty tables give no rows; with fewer than k
+only those of their own length. Rows of a repeated id are queries and candidates each for itself, so such a query_id
+has a list for each of its rows. Empty tables give no rows; with fewer than k
 candidates, all are returned. Extra columns are ignored.
 """
 
@@ -27,8 +29,9 @@ from .common import cut
 
 SHARD, QUERIES, FAN = 2048, 1024, 16
 BLOCK = "no long, dim int, ids binary, rows binary"
-LIST = "qb long, part long, dim int, queries binary, ids binary, scores binary, k int"
+LIST = "qb long, part long, dim int, queries binary, own binary, ids binary, scores binary"
 LOW, HIGH = -(2**63), 2**63 - 1
+NONE = LOW  # an id that fills up lists; a row of this id is left out
 
 
 def packed(df: DataFrame, vec_id: str, vector: str, scale: int, size: int) -> DataFrame:
@@ -66,7 +69,7 @@ def packed(df: DataFrame, vec_id: str, vector: str, scale: int, size: int) -> Da
             while n := sum(len(x[0]) for x in held[dim]):
                 yield block(dim, min(n, size))
 
-    whole = df.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    whole = df.filter((F.col(vec_id).cast("long") != LOW) & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
     return whole.select(F.col(vec_id).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, BLOCK)
 
 
@@ -79,8 +82,15 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(whole(q) @ whole(c).T, LOW, HIGH).astype(np.int64)
 
 
+def squares(q: np.ndarray) -> np.ndarray:
+    """Exact products of integer rows with themselves, as long."""
+    if np.abs(q).max(initial=0) ** 2 * q.shape[1] < 2**53:
+        return (q * q).sum(axis=1).astype(np.int64)
+    return np.concatenate([products(row[None], row[None])[0] for row in q])
+
+
 def best(scores: np.ndarray, ids: np.ndarray, valid: np.ndarray, k: int, sorted_ids: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row by score, then smaller id; ids of -1 fill up. sorted_ids: the ids of each row ascend."""
+    """The k best of each row by score, then smaller id; ids of NONE fill up. sorted_ids: the ids of each row ascend."""
     n = scores.shape[1]
     keep = valid
     if sorted_ids and n > k:  # all above the k-th score, and of those that equal it the first
@@ -93,7 +103,7 @@ def best(scores: np.ndarray, ids: np.ndarray, valid: np.ndarray, k: int, sorted_
     r, c = r[order], c[order]
     place = np.arange(len(r)) - np.searchsorted(r, r)
     r, c, place = r[place < k], c[place < k], place[place < k]
-    out_s, out_i = np.full((len(scores), k), LOW), np.full((len(scores), k), -1)
+    out_s, out_i = np.full((len(scores), k), LOW), np.full((len(scores), k), NONE)
     out_s[r, place], out_i[r, place] = scores[r, c], ids[r, c]
     return out_s, out_i
 
@@ -117,17 +127,18 @@ def search(df: DataFrame, is_query: F.Column, vec_id: str = "vec_id", vector: st
         for b in batches:
             for t in b.to_pylist():
                 qi, ci = np.frombuffer(t["qids"], np.int64), np.frombuffer(t["ids"], np.int64)
-                scores = products(np.frombuffer(t["qrows"]).reshape(len(qi), -1), np.frombuffer(t["rows"]).reshape(len(ci), -1))
+                q = np.frombuffer(t["qrows"]).reshape(len(qi), -1)
+                scores = products(q, np.frombuffer(t["rows"]).reshape(len(ci), -1))
                 order = np.argsort(ci, kind="stable")
                 scores, ci = scores[:, order], ci[order]
-                top, ids = best(scores, np.broadcast_to(ci, scores.shape), qi[:, None] != ci[None], k, True)
-                yield pa.RecordBatch.from_pydict({"qb": [t["qb"]], "part": [t["no"]], "dim": pa.array([t["dim"]], pa.int32()), "queries": [t["qids"]], "ids": [ids.tobytes()], "scores": [top.tobytes()], "k": pa.array([k], pa.int32())})
+                top, ids = best(scores, np.broadcast_to(ci, scores.shape), np.ones(scores.shape, bool), k + 1, True)
+                yield pa.RecordBatch.from_pydict({"qb": [t["qb"]], "part": [t["no"]], "dim": pa.array([t["dim"]], pa.int32()), "queries": [t["qids"]], "own": [squares(q).tobytes()], "ids": [ids.tobytes()], "scores": [top.tobytes()]})
 
     def merge(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n = len(rows["queries"].iloc[0]) // 8
-        ids = np.hstack([np.frombuffer(x, np.int64).reshape(n, k) for x in rows["ids"]])
-        scores = np.hstack([np.frombuffer(x, np.int64).reshape(n, k) for x in rows["scores"]])
-        top, ids = best(scores, ids, ids != -1, k)
+        ids = np.hstack([np.frombuffer(x, np.int64).reshape(n, k + 1) for x in rows["ids"]])
+        scores = np.hstack([np.frombuffer(x, np.int64).reshape(n, k + 1) for x in rows["scores"]])
+        top, ids = best(scores, ids, ids != NONE, k + 1)
         return rows.iloc[:1].assign(part=keys[2], ids=[ids.tobytes()], scores=[top.tobytes()])
 
     lists = cut(tiles.mapInArrow(tile, LIST), "lists")
@@ -141,8 +152,11 @@ def search(df: DataFrame, is_query: F.Column, vec_id: str = "vec_id", vector: st
         for b in batches:
             for t in b.to_pylist():
                 q = np.frombuffer(t["queries"], np.int64)
-                ids, scores = (np.frombuffer(t[x], np.int64).reshape(len(q), k) for x in ("ids", "scores"))
-                r, c = np.nonzero(ids != -1)
-                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array((c + 1).astype(np.int32)), pa.array(ids[r, c]), pa.array(scores[r, c])], ["query_id", "rank", "vec_id", "score"])
+                ids, scores = (np.frombuffer(t[x], np.int64).reshape(len(q), k + 1) for x in ("ids", "scores"))
+                own = (ids == q[:, None]) & (scores == np.frombuffer(t["own"], np.int64)[:, None])
+                other = ~(own & (np.cumsum(own, axis=1) == 1)) & (ids != NONE)
+                place = np.cumsum(other, axis=1) - 1
+                r, c = np.nonzero(other & (place < k))
+                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array((place[r, c] + 1).astype(np.int32)), pa.array(ids[r, c]), pa.array(scores[r, c])], ["query_id", "rank", "vec_id", "score"])
 
     return lists.mapInArrow(spell, "query_id long, rank int, vec_id long, score long")
