@@ -3,7 +3,10 @@
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds a dictionary; then comes one frame per record, compressed
 with that dictionary. The reader loads the dictionary, finds each frame's end by its block headers, decodes frame after frame, and
 validates the version line, the required headers, the block's length against Content-Length, the record's end, and
-payloads against their digests.
+blocks and payloads against their digests, in the algorithm that these name (md5, sha1, sha256 or sha512, in hexadecimal or base 32; others are
+not checked, nor are payloads in chunks or in a content coding against theirs). It also reads archives of others: of version 1.0, without a
+dictionary, with names of headers in any case, with records of any type and any ids; page_id and refers_to are null for foreign ids, which
+record_id and refers_to_id hold as they stand. What is wrong with an archive is told by Invalid.
 
 Equal payloads of `least` bytes or more: those with the smallest id are `response` records, all others `revisit` records
 without payload that name it. Rows that share that smallest id, too, are all responses. Which payloads are repeated follows
@@ -18,6 +21,7 @@ records of their own. Extra columns are ignored. Line breaks in URLs are written
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -29,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, small, small_batches
 
-#: Fixed values of the formats: magic numbers, version line, and what ends a record.
+#: Fixed values of the formats: magic numbers, version lines, what ends a record, names of headers, and algorithms of digests.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
-VERSION = b"WARC/1.1"
+VERSION, OLD_VERSION = b"WARC/1.1", b"WARC/1.0"
 END = b"\r\n\r\n"
 REQUIRED = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length")
+KNOWN = (*REQUIRED, "Content-Type", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Refers-To", "WARC-Profile")
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
 DICTIONARY, SAMPLES = 16_384, 64  # bytes of a dictionary, and records that it is made from
 
 
@@ -96,9 +102,9 @@ def frame_end(data: memoryview, at: int) -> int:
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an archive, validated."""
     data = memoryview(content)
-    if len(data) < 8 or struct.unpack_from("<I", data)[0] != SKIPPABLE:
-        raise Invalid("no skippable frame with a dictionary at the beginning")
-    at = 8 + struct.unpack_from("<I", data, 4)[0]
+    if len(data) < 8 or struct.unpack_from("<I", data)[0] not in (SKIPPABLE, FRAME):
+        raise Invalid("neither a dictionary nor a record at the beginning")
+    at = 8 + struct.unpack_from("<I", data, 4)[0] if struct.unpack_from("<I", data)[0] == SKIPPABLE else 0
     if at > len(data):
         raise Invalid("the dictionary is cut off")
     dictionary = bytes(data[8:at])
@@ -118,42 +124,76 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end
 
 
+def fields(lines: list[bytes], at: int) -> dict[str, str]:
+    """Headers by name, WARC's own in their usual spelling and all others in lower case. A line that begins with a space goes on with the last."""
+    usual, out, last = {x.lower(): x for x in KNOWN}, {}, None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:
+            out[last] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        name, colon, value = line.partition(b":")
+        if not colon:
+            raise Invalid(f"a header without a colon in the record at byte {at}")
+        last = name.decode("utf-8", "replace").strip().lower()
+        last = usual.get(last, last)
+        out[last] = value.decode("utf-8", "replace").strip()
+    return out
+
+
 def parsed(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes]:
     """(headers, block) of a record."""
     head, found, rest = raw.partition(END)
     lines = head.split(b"\r\n")
-    if not found or lines[0] != VERSION:
-        raise Invalid(f"the frame at byte {at} holds no record of {VERSION.decode()}")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Invalid(f"a header without a colon in the record at byte {at}")
-        headers[name.decode().strip()] = value.decode().strip()
+    if not found or lines[0] not in (VERSION, OLD_VERSION):
+        raise Invalid(f"the frame at byte {at} holds no record of {VERSION.decode()} or {OLD_VERSION.decode()}")
+    headers = fields(lines[1:], at)
     for name in REQUIRED:
         if name not in headers:
             raise Invalid(f"no {name} in the record at byte {at}")
     size = headers["Content-Length"]
-    if not size.isdigit() or len(rest) != int(size) + len(END) or rest[int(size) :] != END:
+    if not (size.isascii() and size.isdigit()) or len(rest) != int(size) + len(END) or rest[int(size) :] != END:
         raise Invalid(f"the record at byte {at} does not end where Content-Length says")
     block = rest[: int(size)]
-    if "WARC-Block-Digest" in headers and headers["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if not matches(block, headers.get("WARC-Block-Digest")):
         raise Invalid(f"the block at byte {at} differs from its digest")
     return headers, block
 
 
-def http_payload(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes]:
-    """(bytes of the full payload, its digest, the payload as far as it is stored), validated."""
-    head, _, payload = block.partition(END)
-    said = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    size, digest = int(said["Content-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:")
-    if headers["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise Invalid(f"the payload of {headers['WARC-Record-ID']} differs from its length or digest")
-    return size, digest, payload
-
-
-def key_of(uri: str) -> int | None:
-    return int(x) if (x := uri.removeprefix("<urn:lexmill:page:").removesuffix(">")) else None
+def matches(data: bytes, said: str | None) -> bool:
+    """Whether data has a digest like `sha1:...`; true where there is none, or of an unknown algorithm."""
+    name, _, value = (said or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ALGORITHMS or not value:
+        return True
+    own = hashlib.new(name, data).digest()
+    return value.strip().lower() == own.hex() or value.strip().upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def http_payload(headers: dict[str, str], block: bytes) -> tuple[int, str | None, bytes]:
+    """(bytes of the full payload, its digest, the payload as far as it is stored), validated. The digest is the SHA-256 of what is stored in
+    full, and for revisits what the record says."""
+    said, payload, http = {}, block, headers.get("Content-Type", "").lower().startswith("application/http")
+    if http:
+        head, _, payload = block.partition(END)
+        said = fields(head.split(b"\r\n")[1:], 0) if head else {}
+    size = said.get("Content-Length", "")
+    size = int(size) if size.isascii() and size.isdigit() else None
+    digest, name = headers.get("WARC-Payload-Digest"), headers["WARC-Record-ID"]
+    if headers["WARC-Type"] == "revisit":
+        return len(payload) if size is None else size, digest and digest.removeprefix("sha256:"), payload
+    coded = said.get("transfer-encoding", "identity") != "identity" or said.get("content-encoding", "identity") != "identity"
+    if headers["WARC-Type"] == "response" and not coded:
+        if size is not None and len(payload) != size:
+            raise Invalid(f"the payload of {name} differs from its length")
+        if not matches(payload, digest):
+            raise Invalid(f"the payload of {name} differs from its digest")
+    return len(payload), hashlib.sha256(payload).hexdigest(), payload
+
+
+def key_of(uri: str | None) -> int | None:
+    """The id in a record's name of ours; null for an empty one and for names of others."""
+    own = (uri or "").removeprefix("<urn:lexmill:page:").removesuffix(">")
+    return int(own) if own.removeprefix("-").isdigit() and own.isascii() and uri == record_id(int(own)) else None
 
 
 def write(df: DataFrame, key: str, url: str, payload: str, least: int = 100, archive_bytes: int = 8 << 20) -> DataFrame:
@@ -177,7 +217,7 @@ def write(df: DataFrame, key: str, url: str, payload: str, least: int = 100, arc
     return cut(rows.mapInArrow(run, "archive string, content binary"), "warc")
 
 
-READ = "page_id long, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+READ = "page_id long, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_id string"
 
 
 def read(archives: DataFrame, content: str = "content", payloads: bool = False) -> DataFrame:
@@ -186,12 +226,12 @@ def read(archives: DataFrame, content: str = "content", payloads: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                rows: list[list] = [[] for _ in range(6 + payloads)]
+                rows: list[list] = [[] for _ in range(8 + payloads)]
                 held = 0
                 for headers, block in records(data.as_buffer().to_pybytes()):
                     size, digest, payload = http_payload(headers, block)
                     refers = headers.get("WARC-Refers-To")
-                    values = [key_of(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], size, digest, key_of(refers) if refers else None]
+                    values = [key_of(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], size, digest, key_of(refers), headers["WARC-Record-ID"], refers]
                     for column, v in zip(rows, [*values, payload] if payloads else values, strict=True):
                         column.append(v)
                     held += len(payload) * payloads + 200
@@ -201,7 +241,7 @@ def read(archives: DataFrame, content: str = "content", payloads: bool = False)
                 yield batch(rows)
 
     def batch(rows: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in READ.split(", ")] + ["payload"]
         return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], names[: len(rows)])
 
