@@ -3,32 +3,35 @@
 For each language, a suffix automaton of a bounded sample of its labelled text accepts exactly that sample's substrings.
 A text is parsed greedily: each phrase is the longest match that starts where the last one ended (one letter at least).
 With c phrases over n letters and spaces and a sample of m, the normalised number is c * log2(m + 2) / n; the
-language with the least wins, ties going to the name that sorts first. Text is parsed in blocks of 256
-letters and spaces, and a phrase ends where its block does; all blocks of all languages advance together as numpy arrays.
+language with the least wins, ties going to the name that sorts first. Blocks of BLOCK letters and spaces of all texts advance together as
+numpy arrays, and are then joined so that phrases go on from block to block: the result is that of parsing letter by letter.
 
 Normal form: code points that are letters, in lower case; each run of other characters is one space. Every letter of any sample has
 a code of its own; letters that no sample has share one. Each language's automaton has an alphabet of its own, that of its sample; its
 transitions are a full table where that is small, as with alphabets, and else a sorted list of (state, letter), as with Chinese.
 
 Bounds: at most `docs_per_language` documents of a language are sampled (the smallest hashes of their key) and at most
-`chars` letters of them are used, in whole texts where they fit.
+`chars` letters of them are used, in whole texts where they fit, of texts that hold four times as many characters; an id counts once in a
+language, with the text that sorts first. More than LANGUAGES languages are an error.
 Nulls: a null text, or one without a letter, is `und` with score 0. Null languages teach nothing; no learned language at
 all makes every text `und`. Repeated rows repeat; extra columns pass through, own columns lang_pred and score are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, Shared, slices, small_batches
+from .common import bounded_sample, cut, Shared, slices, small_batches
 
-BLOCK = 256
+BLOCK, OVERRUN = 256, 1024
+LANGUAGES = 2_000
 FULL = 4_000_000  # the most entries of a full table of transitions of a language
 
 
@@ -130,6 +133,88 @@ class Automaton:
         return np.where(self.keys[at] == key, self.to[at], -1)
 
 
+    def parse_blocks(self, codes_: np.ndarray, begin: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases start, if each block (the longest first; alive says how many are longer than each step) begins with one, and the
+        states after the blocks."""
+        starts = np.zeros(len(codes_), bool)
+        state = np.zeros(len(begin), self.restart.dtype)
+        starts[begin] = True
+        for step in range(BLOCK):
+            k = alive[step]
+            if not k:
+                break
+            place = begin[:k] + step
+            c = codes_[place]
+            if not step:
+                state[:] = self.restart[c]
+                continue
+            to = self.next(state[:k], c)
+            ends = np.flatnonzero(to < 0)
+            to[ends] = self.restart[c[ends]]
+            starts[place[ends]] = True
+            state[:k] = to
+        return starts, state
+
+    def parse(self, codes_: np.ndarray) -> int:
+        """The number of phrases of one text, letter by letter."""
+        if not len(codes_):
+            return 0
+        restart, n = self.restart.tolist(), 1
+        if self.keys is None:
+            step = memoryview(self.full)
+            state = restart[codes_[0]]
+            for c in codes_[1:].tolist():
+                state = step[state + c]
+                if state < 0:
+                    state, n = restart[c], n + 1
+            return n
+        keys, to = memoryview(self.keys), memoryview(self.to)
+        state = restart[codes_[0]]
+        for c in codes_[1:].tolist():
+            i = bisect_left(keys, state + c)
+            if i < len(keys) and keys[i] == state + c:
+                state = to[i]
+            else:
+                state, n = restart[c], n + 1
+        return n
+
+
+def joined(automaton: Automaton, codes_: np.ndarray, starts: np.ndarray, state: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, text: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Phrases of each text, from those of its blocks. The last phrase of a block goes on into the next; from where one of the phrases after it
+    starts on a start of the next block's own parse, both are the same. Parses that don't meet for OVERRUN letters, as in a long
+    copy of the sample, are done again letter by letter."""
+    stop = at[1:][text]
+    run = np.flatnonzero(end < stop)
+    place, now = end[run].copy(), state[run]
+    more, meet = np.zeros(len(begin), np.int64), stop.copy()  # phrases after the block's last until the parses meet, and where
+    for _ in range(OVERRUN):
+        if not len(run):
+            break
+        c = codes_[place]
+        to = automaton.next(now, c)
+        ends = to < 0
+        met = ends & starts[place]
+        meet[run[met]] = place[met]
+        more[run[ends & ~met]] += 1
+        now = np.where(ends, automaton.restart[c], to)
+        place = place + 1
+        open_ = ~met & (place < stop[run])
+        run, place, now = run[open_], place[open_], now[open_]
+    total = np.zeros(len(n), np.int64)
+    before = np.concatenate(([0], np.cumsum(starts)))
+    here = np.arange(len(begin)) - first[text]
+    entry = np.where(here > 0, np.concatenate(([0], meet[:-1])), begin)  # where the true parse meets that of the block
+    total += np.bincount(text, weights=before[end] - before[np.minimum(entry, end)] + more, minlength=len(n)).astype(np.int64)
+    # texts in which a block's phrases pass over the whole next one
+    late = np.zeros(len(n), bool)
+    late[text[run]] = True
+    passed = np.unique(text[:-1][(text[1:] == text[:-1]) & (meet[:-1] >= end[1:]) & (end[1:] < stop[1:])])
+    late[passed] = True
+    for t in np.flatnonzero(late).tolist():
+        total[t] = automaton.parse(codes_[at[t] : at[t + 1]])
+    return total
+
+
 class Model:
     """The automata of all languages."""
 
@@ -153,31 +238,18 @@ class Model:
         size = np.diff(at)
         n = -(-size // BLOCK)
         text = np.repeat(np.arange(len(size)), n)
-        first = np.concatenate(([0], np.cumsum(n)))[:-1]
+        first = np.cumsum(n) - n
         begin = at[:-1][text] + (np.arange(len(text)) - first[text]) * BLOCK
-        length = np.minimum(BLOCK, at[1:][text] - begin)
-        order = np.argsort(-length, kind="stable")
-        begin, length, text = begin[order], length[order], text[order]
-        alive = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # blocks longer than each step
-        total = np.zeros((len(size), len(self.langs)), np.int64)
-        state = [np.zeros(len(begin), a.restart.dtype) for a in self.automata]
-        count = [np.ones(len(begin), np.int32) for _ in self.automata]
-        for step in range(BLOCK):
-            k = alive[step]
-            if not k:
-                break
-            read = found[begin[:k] + step]
-            for s, automaton, n_ in zip(state, self.automata, count, strict=True):
-                c = automaton.own[read]
-                if not step:
-                    s[:] = automaton.restart[c]
-                    continue
-                to = automaton.next(s[:k], c)
-                ends = to < 0
-                n_[:k] += ends
-                s[:k] = np.where(ends, automaton.restart[c], to)
-        for j, n_ in enumerate(count):
-            total[:, j] = np.bincount(text, weights=n_, minlength=len(size))
+        end = np.minimum(begin + BLOCK, at[1:][text])
+        order = np.argsort(begin - end, kind="stable")
+        alive = np.searchsorted((begin - end)[order], -np.arange(BLOCK), side="left")  # blocks longer than each step
+        total = np.zeros((len(size), len(self.automata)), np.int64)
+        for j, automaton in enumerate(self.automata):
+            codes_ = automaton.own[found]
+            starts, state = automaton.parse_blocks(codes_, begin[order], alive)
+            last = np.empty(len(begin), state.dtype)
+            last[order] = state
+            total[:, j] = joined(automaton, codes_, starts, last, begin, end, at, text, first, n)
         return total
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -198,10 +270,14 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 100, chars: int = 24_000) -> Model:
     """Learns from the labelled rows of docs."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, lang, text)
-    keys = bounded_sample(rows.select(key, lang), key, lang, docs_per_language)
-    found = rows.join(F.broadcast(keys.select(key).distinct()), key, "left_semi").orderBy(F.xxhash64(key), key, text).collect()
+    if rows.select(lang).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    keys = cut(bounded_sample(rows.select(key, lang), key, lang, docs_per_language), "sample").distinct()
+    found = rows.join(F.broadcast(keys), [key, lang], "left_semi").groupBy(key, lang).agg(F.min(F.left(text, F.lit(4 * chars))).alias(text))
+    order = Window.partitionBy(lang).orderBy("_hash", key)
+    found = found.withColumn("_hash", F.xxhash64(key)).withColumn("_before", F.sum(F.length(text)).over(order) - F.length(text)).filter(F.col("_before") < 4 * chars)
     samples: dict[str, list[str]] = {}
-    for r in found:
+    for r in found.orderBy("_hash", key, lang).collect():
         samples.setdefault(r[lang], []).append(r[text])
     return Model(samples, chars)
 
