@@ -1,5 +1,6 @@
 """Mixing, the Jaccard join, exact search, WARC, URL filters and the pipeline."""
 
+import base64
 import hashlib
 import random
 import re
@@ -62,10 +63,79 @@ def test_mixing(sources):
     assert sorted((r.doc_id, r.taken) for r in mixing.Plan(cut(mixing.sizes(sources.repartition(5)))).taken(sized).collect()) == sorted((r.doc_id, r.taken) for r in got)
     rows = plan.mixed(sources, 5000).collect()
     times = Counter(r.doc_id for r in rows)
-    assert all(times[r.doc_id] * r.size == r.taken for r in got)
+    assert all(times[r.doc_id] * r["size"] == r.taken for r in got)
     assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and len({r.shard for r in rows}) > 5
 
 
+def test_mixing_against_brute_force(spark, sources):
+    """Block choice by plain loops, and the tree by splitting whole lists of draws from the root."""
+    sized = cut(mixing.sizes(sources))
+    plan = mixing.Plan(sized, seed=5)
+    rows = plan.placed(sized).collect()
+    words, subs = Counter(), Counter()
+    for r in rows:
+        words[r[mixing.MIX], r[mixing.BLOCK]] += r["size"]
+        subs[r[mixing.MIX], r[mixing.BLOCK], r[mixing.SUB]] += r["size"]
+    total = Counter()
+    for (s, _), n in words.items():
+        total[s] += n
+    goal = mixing.targets({None if s == "none" else s[1:]: n for s, n in total.items()})
+    draws, part = {}, {}  # lists of (block, copy, whole) by source; sub-blocks of the block drawn in part
+    for s in total:
+        target = goal[None if s == "none" else s[1:]]
+        order = sorted((b for x, b in words if x == s), key=lambda b: mixing.hash_of(5, s, b))
+        times = int(target // total[s])
+        room, extra = target - times * total[s], []
+        for b in order:
+            if words[s, b] <= room:
+                extra.append(b)
+                room -= words[s, b]
+        draws[s] = [(b, k, True) for k in range(times) for b in order] + [(b, times, True) for b in order if b in extra]
+        rest = [b for b in order if b not in extra]
+        if room > 0 and rest:
+            b = min(rest, key=lambda b: words[s, b])
+            draws[s].append((b, times, False))
+            chosen, left = set(), []
+            for x in sorted((x for y, z, x in subs if (y, z) == (s, b)), key=lambda x: mixing.hash_of(6, s, x)):
+                if subs[s, b, x] <= room:
+                    chosen.add(x)
+                    room -= subs[s, b, x]
+                else:
+                    left.append(x)
+            if left and subs[s, b, min(left, key=lambda x: subs[s, b, x])] - room < room:
+                chosen.add(min(left, key=lambda x: subs[s, b, x]))
+            part[s, b] = chosen
+    shards = plan.shards(5000)
+    assert shards > 8
+
+    def deal(low, high, lists):
+        if high - low == 1:
+            return {low: lists}
+        mid, names = (low + high) // 2, sorted(lists)
+        n = sum(map(len, lists.values())) * (mid - low) // (high - low)
+        left = np.random.default_rng([5, low, high]).multivariate_hypergeometric([len(lists[x]) for x in names], n, method="marginals")
+        return deal(low, mid, {x: lists[x][:k] for x, k in zip(names, left, strict=True)}) | deal(mid, high, {x: lists[x][k:] for x, k in zip(names, left, strict=True)})
+
+    want = Counter()
+    for shard, lists in deal(0, shards, draws).items():
+        for s, own in lists.items():
+            for b, _, whole in own:
+                want.update((r.doc_id, shard) for r in rows if (r[mixing.MIX], r[mixing.BLOCK]) == (s, b) and (whole or r[mixing.SUB] in part[s, b]))
+    assert Counter((r.doc_id, r.shard) for r in plan.mixed(sources, 5000).collect()) == want
+    times = Counter()
+    for (k, _), n in want.items():
+        times[k] += n
+    assert {r.doc_id: r.taken for r in plan.taken(sized, 5000).collect()} == {r.doc_id: r["size"] * times[r.doc_id] for r in rows}
+
+
+def test_mixing_replaces_own_columns(sources):
+    clash = sources.withColumns({x: F.lit("mine") for x in ("source_size", "target", "taken", "size", "copies", "draw", "room", "words")})
+    sized = cut(mixing.sizes(clash))
+    got = mixing.Plan(sized).taken(sized)
+    assert got.count() == 1500 and dict(got.dtypes)["target"] == "double" and got.filter("copies <> 'mine' or draw <> 'mine'").count() == 0
+    assert mixing.Plan(sized).mixed(clash).filter("words <> 'mine'").count() == 0
+
+
 def test_mixing_odd_rows(odd, empty):
     sized = cut(mixing.sizes(odd))
     by_id = {r.doc_id: r["size"] for r in sized.collect()}
@@ -134,8 +204,32 @@ def test_jaccard_odd_rows(odd, empty):
     assert len(got) == 11
     by = {r.doc_id: (r.class_id, r.n_links) for r in got}
     assert by[1] == by[2] == by[3] == (1, 2) and by[7] == by[8] == (7, 2) and by[5][1] == 0
-    assert jaccard.join(empty).count() == 0
-    assert jaccard.deduplicate(odd).columns == odd.columns
+    assert jaccard.join(empty).count() == 0 and jaccard.deduplicate(empty).count() == 0
+    assert set(odd.columns) - {"text"} <= set(jaccard.join(odd).columns) and {r.node for r in jaccard.join(odd).collect()} == {"mine"}
+    kept = jaccard.deduplicate(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id is None, r.doc_id, r.text is None) for r in kept.collect()) == [(False, 1, True), (False, 4, False), (False, 5, False), (False, 6, False), (False, 7, False), (False, 9, False), (True, None, False)]
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b = near_copies(2, 7)[0][1], "other words " * 9
+    rows = [(5, a), (9, a), (9, b), (9, b), (None, b), (None, "lone text of some words"), (None, "lone text of some words"), (11, a + " more"), (12, "x")]
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in spark.createDataFrame([(5, a), (9, b), (None, "lone text of some words"), (12, "x")], "doc_id long, text string").collect()]))
+
+
+def test_many_homes(spark, monkeypatch):
+    """Groups that hang together by chains, tiles and hubs of any size: as by brute force."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "HEAVY", 3)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, text = [], [word() for _ in range(120)]
+    for i in range(60):  # each differs a little from the one before
+        text = text[2:] + [word(), word()]
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, t) for i, t in near_copies(25, 9)] + [(200 + i, rows[3][1]) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(df).collect()) == brute(rows)
 
 
 def test_banding_and_components(spark):
@@ -171,6 +265,14 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one id are candidates of each other and queries of their own; columns named like results don't matter."""
+    rows = [(0, [1.0, 0.0], 7), (0, [2.0, 0.0], 7), (1, [1.0, 1.0], 7), (2, [0.5, 0.0], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").withColumns({"rank": F.lit("x"), "query_id": F.lit("y")})
+    got = topk.search(df, F.col("vec_id") == 0, k=3).collect()
+    assert sorted((r.vec_id, r.score) for r in got) == sorted([(0, 2 * 64 * 64), (1, 64 * 64), (2, 32 * 64), (0, 2 * 64 * 64), (1, 2 * 64 * 64), (2, 2 * 32 * 64)])
+
+
 def test_products_of_any_size():
     q = np.array([[1e15, -3.0], [2.0, 5.0]])
     c = np.array([[1e4, 7.0], [1e15, 1.0]])
@@ -221,6 +323,36 @@ def test_archives_are_checked():
                 warc.http_payload(h, b)
 
 
+def foreign(kind, block, version="WARC/1.0", **more):
+    head = {"warc-type": kind, "WARC-RECORD-ID": "<urn:uuid:5f0c>", "Warc-Date": "2020-01-01T00:00:00Z", "content-length": len(block), **{k.replace("_", "-"): v for k, v in more.items()}}
+    return (version + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    body = b"<p>hi</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n" + body
+    made = [
+        foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("response", http, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{sha1}", WARC_Target_URI="http://x/"),
+        foreign("response", http, "WARC/1.1", Content_Type="application/http;msgtype=response", WARC_Payload_Digest="blake3:00", WARC_Block_Digest="sha1:" + hashlib.sha1(http).hexdigest()),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", Content_Type="application/http", WARC_Refers_To="<urn:uuid:77>", WARC_Payload_Digest=f"sha1:{sha1}"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n9\r\n<p>hi</p>\r\n0\r\n\r\n", Content_Type="application/http", WARC_Payload_Digest=f"sha1:{sha1}"),
+        foreign("resource", b"plain", Content_Type="text/plain"),
+    ]
+    press = zstandard.ZstdCompressor()
+    data = b"".join(press.compress(x) for x in made)
+    got = warc.read(spark.createDataFrame([(bytearray(data),)], "content binary"), payloads=True).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "response", "response", "revisit", "response", "resource"]
+    assert {r.record_id for r in got} == {"<urn:uuid:5f0c>"} and {r.page_id for r in got} == {None}
+    assert got[1].payload_digest == hashlib.sha256(body).hexdigest() and got[1].payload == body and got[1].target_uri == "http://x/"
+    assert (got[3].refers_to, got[3].refers_to_id, got[3].payload_digest) == (None, "<urn:uuid:77>", f"sha1:{sha1}") and got[5].payload == b"plain"
+    for bad in (foreign("response", http, Content_Type="application/http", WARC_Payload_Digest="sha1:" + "A" * 32), foreign("response", http, WARC_Block_Digest="md5:" + "0" * 32), foreign("response", http, "WARC/2.0")):
+        with pytest.raises(warc.Invalid):
+            for h, b in warc.records(press.compress(bad)):
+                warc.http_payload(h, b)
+
+
 # ---- URL filters
 
 
