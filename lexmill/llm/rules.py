@@ -43,6 +43,7 @@ MEASURES = [
     ("word_length", "word_chars", "n_words", 0, 0.75),
 ]
 BOTH_SIDES = ["word_length"]
+REACH = 10.0
 
 
 def doubled(keys: np.ndarray) -> np.ndarray:
@@ -186,13 +187,13 @@ def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
 
 
-def judge(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
+def judge(df: DataFrame, reach: float = REACH, least: int = 50) -> DataFrame:
     """df's columns without text, STATS, the limits of the row's group, base_failed and kept."""
     stats = cut(with_stats(df), "stats")
     return judged(stats, cut(thresholds(stats, reach, least), "limits"))
 
 
-def keep(df: DataFrame, reach: float = 6.0, least: int = 50) -> DataFrame:
+def keep(df: DataFrame, reach: float = REACH, least: int = 50) -> DataFrame:
     """The rows of df that judge() keeps, with df's columns. Texts are measured once more where they lie, so none is shuffled."""
     stats = cut(with_stats(df.select("text", "lang", "source")), "stats")
     limits = cut(thresholds(stats, reach, least), "limits")
