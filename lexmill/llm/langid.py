@@ -32,6 +32,7 @@ from .common import bounded_sample, cut, Shared, slices, small_batches
 
 BLOCK, OVERRUN = 256, 1024
 LANGUAGES = 2_000
+LEAST = 200  # letters of a text that tells what is usual
 FULL = 4_000_000  # the most entries of a full table of transitions of a language
 
 
@@ -222,7 +223,7 @@ class Model:
         self.langs = sorted(samples)
         self.table = letter_table([t for lang in self.langs for t in samples[lang]])
         n_codes = int(self.table.max(initial=0)) + 1
-        self.automata, self.bits = [], []
+        self.automata, self.bits, rest = [], [], []
         for lang in self.langs:
             found, at = codes(pa.array(samples[lang], pa.string()), self.table)
             use, left = [], chars
@@ -230,8 +231,16 @@ class Model:
                 if e - s <= left or not use:
                     use.append(found[s : min(e, s + left)])
                     left -= len(use[-1])
+                elif e - s >= LEAST:
+                    rest.append((len(self.automata), found[s:e]))
             self.automata.append(Automaton(np.concatenate(use), max(n_codes, 2)))
             self.bits.append(np.log2(2 + chars - left))
+        # what is usual: texts of the language that its automaton doesn't know
+        self.usual = np.full(len(self.langs), np.inf)
+        for j, automaton in enumerate(self.automata):
+            own = [automaton.parse(automaton.own[x]) * self.bits[j] / len(x) for k, x in rest if k == j]
+            if len(own) >= 10:
+                self.usual[j] = max(own)
 
     def phrases(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) and language (columns)."""
@@ -252,11 +261,12 @@ class Model:
             total[:, j] = joined(automaton, codes_, starts, last, begin, end, at, text, first, n)
         return total
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language, the score, and the normalised number of phrases as a share of the most that is usual in texts of that language."""
         found, at = codes(texts, self.table)
         letters = np.add.reduceat(np.concatenate((found > 0, [False])).astype(np.int64), at[:-1]) if len(texts) else np.zeros(0)
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         norm = self.phrases(found, at) * np.array(self.bits) / np.diff(at)[:, None]
         best = norm.argmin(axis=1)
         low = norm[np.arange(len(norm)), best]
@@ -264,7 +274,7 @@ class Model:
         if len(self.langs) > 1:
             score = 1 - low / np.partition(norm, 1, axis=1)[:, 1]
         none = letters == 0
-        return ["und" if z else self.langs[i] for z, i in zip(none, best, strict=True)], np.where(none, 0.0, np.clip(score, 0, 1))
+        return ["und" if z else self.langs[i] for z, i in zip(none, best, strict=True)], np.where(none, 0.0, np.clip(score, 0, 1)), np.where(none, 0.0, low / self.usual[best])
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 100, chars: int = 24_000) -> Model:
@@ -282,17 +292,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Model(samples, chars)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """df with lang_pred and score."""
+OUTPUTS = {"lang_pred": "string", "score": "double", "oddness": "double"}
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True, outputs: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """df with lang_pred and score, and with oddness if asked for: above 1, a text has more phrases than any that the fit saw of its language
+    beyond the sample (0, where the fit saw fewer than ten of LEAST letters)."""
     small_batches(df.sparkSession)
     shared = Shared(df.sparkSession, model)
-    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score") and (keep_text or f.name != text)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
+    kept = [f for f in df.schema.fields if f.name not in outputs and (keep_text or f.name != text)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{x} {OUTPUTS[x]}" for x in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.open()
         for b in slices(batches, text):
-            lang, score = m.predict(b.column(text))
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(lang, pa.string()), pa.array(score)], [*[f.name for f in kept], "lang_pred", "score"])
+            made = dict(zip(OUTPUTS, m.predict(b.column(text)), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(made[x]) for x in outputs], [*[f.name for f in kept], *outputs])
 
     return df.mapInArrow(run, schema)
