@@ -1,6 +1,7 @@
 """Rules, language ID, classifiers and BPE."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -63,6 +64,41 @@ def test_thresholds_follow_their_group(spark, prose):
     assert sorted(r.doc_id for r in rules.keep(docs).collect()) == sorted(i for i, v in got.items() if v[1])
 
 
+def test_verdicts_against_exact_quantiles(spark, prose):
+    """kept by plain loops: limits from sorted values on the sketch's grid, by language and source, language, or all."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(420):
+        lang, source = (("aa", "calm"), ("aa", "loud"), ("bb", "calm"), ("bb", "rare"), ("cc", None))[0 if i < 120 else 1 if i < 240 else 2 if i < 360 else 3 if i < 390 else 4]
+        marks = rng.choice([0, 0, 1, 3, 9, 30] if source != "loud" else [20, 25, 30, 40, 90])
+        words = prose(lang, rng.randint(40, 90)).split()
+        words += rng.choices(["#", "!!", "BIG"], k=marks) + words[:4] * rng.choice([0, 0, 0, 2, 9])
+        rows.append((i, " ".join(words) + "\nend\nend" * rng.choice([0, 0, 3]), lang, source))
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 2.0, 50).collect()}
+    ratio = lambda r, a, b, less=0: (r[a] - less) / r[b] if r[b] else 0.0
+    inside = [r for r in got.values() if not r.base_failed]
+    assert 0 < sum(r.kept for r in inside) < len(inside) - 20
+
+    def limits(own, a, b, q):
+        buckets = sorted(math.ceil(math.log(ratio(r, a, b) + 0.001) / math.log(rules.GRID)) for r in own)
+        at = lambda p: max(0.0, rules.GRID ** (next(x for i, x in enumerate(buckets, 1) if i >= p * len(buckets)) - 0.5) - 0.001)
+        spread = lambda end: max(abs(end - at(0.5)), 0.05 * end)
+        return at(q) + 2.0 * spread(at(q)), at(0.25) - 2.0 * spread(at(0.25))
+
+    constant = 0
+    for r in got.values():
+        groups = [[x for x in inside if (x.lang, x.source) == (r.lang, r.source)], [x for x in inside if x.lang == r.lang], inside]
+        own = next((g for g in groups if len(g) >= 50), inside)
+        within, fixed = True, True
+        for name, a, b, one, q in rules.MEASURES:
+            (high, low), (top, _) = limits(own, a, b, q), limits(inside, a, b, q)
+            within &= ratio(r, a, b, one) <= high and (name not in rules.BOTH_SIDES or ratio(r, a, b) >= low)
+            fixed &= ratio(r, a, b, one) <= top
+        assert r.kept == (not r.base_failed and within), r
+        constant += fixed != within
+    assert constant > 20  # limits that are the same for all give other verdicts
+
+
 def test_thresholds_have_no_floors(spark, prose):
     """A few symbols are far outside a source without any, and words far shorter than a source's are outside as well."""
     rows = [(i, prose("aa", 80), "aa", "calm") for i in range(60)]
@@ -116,13 +152,22 @@ def test_a_copy_of_the_sample_is_one_phrase(prose):
     assert len(found) > 1000 and m.phrases(found, at)[0, 0] == 1
 
 
+def test_odd_texts(prose):
+    """Texts of a language that no sample has are odd, others of the samples' languages are not."""
+    rng = random.Random(1)
+    m = langid.Model({x: [prose(x, 150) for _ in range(40)] for x in ("aa", "bb")}, 24_000)
+    odd = "".join(rng.choice("qwxzvyk ") for _ in range(400))
+    langs, _, oddness = m.predict(pa.array([prose("aa", 60), prose("bb", 200), odd, None]))
+    assert langs[:2] == ["aa", "bb"] and langs[3] == "und" and (oddness[:2] < 1.3).all() and oddness[2] > 1.5 and oddness[3] == 0
+
+
 def test_the_fewest_phrases_win(prose):
     """The choice and its score against phrases by search."""
     samples = {x: [prose(x, 80)] for x in ("aa", "bb", "cc", "dd")}
     m = langid.Model(samples, 24_000)
     texts = [prose(x, 9) for x in samples] + ["kato schu", "zzz"]
     found, at = langid.codes(pa.array(texts), m.table)
-    langs, scores = m.predict(pa.array(texts))
+    langs, scores, _ = m.predict(pa.array(texts))
     for s, e, lang, score in zip(at[:-1], at[1:], langs, scores, strict=True):
         norm = {}
         for x in sorted(samples):
