@@ -14,8 +14,9 @@ from lexmill.llm import bpe, jaccard, langid, mixing, rules
 from lexmill.llm.common import cut, remainder
 from lexmill.llm.queries import vocabulary
 
-#: Predictions of a language below this score, which are ties but for a hair, are rejected; texts of two languages are not.
-LEAST_SCORE = 1e-4
+#: Predictions of a language below this score, which are ties but for a hair, are rejected; texts of two languages are not. Texts with so many
+#: times the phrases that any known text of their language has are in none of the languages learned.
+LEAST_SCORE, MOST_ODDNESS = 1e-4, 1.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; `und` and doubtful ones go."""
+    """Documents of a recognised language; `und`, doubtful ones and those in a language that was not learned go."""
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
-    found = langid.predict(docs.withColumnsRenamed(clash), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in clash.items()})
+    own = ("lang_pred", "score", "oddness")
+    clash = {c: f"_own_{c}" for c in docs.columns if c in own}
+    found = langid.predict(docs.withColumnsRenamed(clash), model, outputs=own)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("oddness") <= MOST_ODDNESS))
+    return kept.drop(*own).withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
