@@ -16,7 +16,7 @@ from lexmill.llm.queries import vocabulary
 
 #: Predictions of a language below this score, which are ties but for a hair, are rejected; texts of two languages are not. Texts with so many
 #: times the phrases that any known text of their language has are in none of the languages learned.
-LEAST_SCORE, MOST_ODDNESS = 1e-4, 1.5
+LEAST_SCORE, MOST_ODDNESS = 1e-4, 2.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
