@@ -6,9 +6,10 @@ one of most rows whose bands find a pair at the threshold with probability `reca
 
 1. One pass over the texts gives each document a digest of its n-gram set and its band hashes. Equal sets are one class, whose
    representative is the smallest id; from here on there is one node per class, with the number of its documents.
-2. A shuffle on (band, hash) finds buckets of two nodes or more. A node's home is the largest of its buckets, so a group of near copies
-   has few homes. Homes that meet in a bucket are to be compared, each pair of homes once, however many buckets they share; homes without
-   a common bucket are not, so texts that hang together only through others cost nothing.
+2. A shuffle on (band, hash) finds buckets of two nodes or more. A node's home is the largest of its buckets, and each home joins the
+   largest that it meets in a bucket, twice, so a group of near copies has one home or few. Homes that meet in a bucket are to be compared, each
+   pair of homes once, however many buckets they share; homes without a common bucket are not, so texts that hang together only
+   through many others are never compared.
 3. The n-gram sets of nodes in buckets are built from the whole texts and dealt out in tiles: a home of m nodes makes blocks of about
    TILE nodes or TILE_BYTES bytes, and each pair of blocks of two homes to compare is one task, that counts common n-grams of all its pairs by
    sparse products. All pairs of nodes with a common bucket are among them, so large groups of near copies lose no link; nothing is
@@ -223,17 +224,26 @@ class Classes:
         shared = cut(spread_join(placed, buckets, "bucket", F.col("m") >= heavy_from(placed.count())), "shared")
         home = shared.groupBy("node").agg(F.first("first").alias("first"), F.first("copies").alias("copies"), F.first("size").alias("size"), F.max(F.struct("m", "bucket")).getField("bucket").alias("home"), F.collect_set("bucket").alias("buckets"))
         home = cut(home, "homes")
+        # a bucket whose members have k homes gives k * k / 2 pairs; as each of these homes is as large as the bucket, k is small
+        met = home.select("home", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").agg(F.array_sort(F.collect_set("home")).alias("h"))
+        other = F.transform("h", lambda x, i: F.struct(x.alias("a"), F.slice("h", i + 1, F.size("h") - i).alias("bs")))
+        pairs = cut(met.select(F.explode(other).alias("x")).select("x.a", F.explode("x.bs").alias("b")).distinct(), "met")  # each home meets itself
+        # each home joins the largest that it meets, twice, so that a group of near copies becomes one
+        home = home.drop("buckets")
+        for _ in range(2):
+            count = cut(home.groupBy(F.col("home").alias("b")).agg(F.count("*").alias("m")), "counts")
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            into = both.join(small(count), "b").groupBy("a").agg(F.max(F.struct("m", "b")).getField("b").alias("into"), F.count("*").alias("n"))
+            into = cut(into.join(count.select(F.col("b").alias("a"), "m"), "a"), "into")
+            heavy = F.col("n") >= heavy_from(pairs.count())
+            left = spread_join(pairs, into.drop("m"), "a", heavy).select(F.col("into").alias("x"), F.col("b").alias("a"))
+            pairs = cut(spread_join(left, into.drop("m"), "a", heavy).select(F.least("x", "into").alias("a"), F.greatest("x", "into").alias("b")).distinct(), "met")
+            home = cut(spread_join(home.withColumnRenamed("home", "a"), into, "a", F.col("m") >= heavy_from(home.count())).drop("a", "n", "m").withColumnRenamed("into", "home"), "homes")
         blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(8 * F.sum("size") / TILE_BYTES)).cast("int")
         sizes = cut(home.groupBy("home").agg(F.count("*").alias("m"), blocks.alias("blocks")), "sizes")
-        member = spread_join(home.drop("buckets"), sizes, "home", F.col("m") >= heavy_from(home.count()))
+        member = spread_join(home, sizes, "home", F.col("m") >= heavy_from(home.count()))
         member = cut(member.select("node", "first", "copies", "home", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
-        # a bucket whose members have k homes gives k * k / 2 pairs; as each of these homes is as large as the bucket, k is small
-        met = home.select("home", F.explode("buckets").alias("bucket")).distinct()
-        met = met.groupBy("bucket").agg(F.array_sort(F.collect_set("home")).alias("h"))
-        other = F.transform("h", lambda x, i: F.struct(x.alias("a"), F.slice("h", i + 1, F.size("h") - i).alias("bs")))
-        pairs = met.filter(F.size("h") > 1).select(F.explode(other).alias("x")).select("x.a", F.explode("x.bs").alias("b")).filter("a <> b")
-        own = sizes.select(F.col("home").alias("a"), F.col("home").alias("b"))
-        return member, cut(pairs.unionByName(own).distinct(), "pairs")
+        return member, pairs
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128) -> DataFrame:
