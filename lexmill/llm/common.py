@@ -63,17 +63,24 @@ def delete_written(spark: SparkSession) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df (already cut), marked for broadcast if its counted rows and the bytes of its texts are within the limits; else as it is, for a
-    shuffled join."""
+def is_small(df: DataFrame) -> bool:
+    """Whether df (already cut) has few enough rows, counted, and few enough bytes in its texts to be broadcast."""
     wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
     n, held = df.agg(F.count("*"), F.coalesce(F.sum(reduce(add, wide, F.lit(0))), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held + 8 * n * len(df.columns) <= size else df
+    return n <= BROADCAST_ROWS and held + 8 * n * len(df.columns) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (already cut), marked for broadcast if it is small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, heavy: F.Column) -> DataFrame:
-    """Inner join of rows with keyed (one row a key; both cut). Keys that heavy marks are broadcast, so their many rows stay where they lie; the
-    others are joined by a shuffle. heavy must mark so many rows of a key that there can't be more than 100,000 such keys."""
+    """Inner join of rows with keyed (one row a key; both cut). If keyed is not small, keys that heavy marks are broadcast, so their many rows
+    stay where they lie, and the others are joined by a shuffle. heavy must mark so many rows of a key that there can't be more than
+    100,000 such keys."""
+    if is_small(keyed):
+        return rows.join(F.broadcast(keyed), key)
     hot = F.broadcast(keyed.filter(heavy))
     rest = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(~heavy), key)
     return rows.join(hot, key).unionByName(rest)

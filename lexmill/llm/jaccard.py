@@ -219,11 +219,12 @@ class Classes:
 
     def homes(self) -> tuple[DataFrame, DataFrame]:
         """((node, first, copies, home, blocks, block) of nodes in buckets of two or more; (a, b): homes to compare, a <= b)."""
-        placed = cut(self.nodes.filter("node <> ''").select("node", "first", "copies", "size", F.posexplode("bands").alias("band", "hash")).select("node", "first", "copies", "size", F.xxhash64("band", "hash").alias("bucket")), "placed")
+        # rows of all bands are narrow: 16 bytes of a digest, and a bucket
+        placed = cut(self.nodes.filter("node <> ''").select(F.unhex("node").alias("node"), F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket")), "placed")
         buckets = cut(placed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-        shared = cut(spread_join(placed, buckets, "bucket", F.col("m") >= heavy_from(placed.count())), "shared")
-        home = shared.groupBy("node").agg(F.first("first").alias("first"), F.first("copies").alias("copies"), F.first("size").alias("size"), F.max(F.struct("m", "bucket")).getField("bucket").alias("home"), F.collect_set("bucket").alias("buckets"))
-        home = cut(home, "homes")
+        shared = spread_join(placed, buckets, "bucket", F.col("m") >= heavy_from(placed.count()))
+        home = shared.groupBy("node").agg(F.max(F.struct("m", "bucket")).getField("bucket").alias("home"), F.collect_set("bucket").alias("buckets")).withColumn("node", F.lower(F.hex("node")))
+        home = cut(home.join(self.nodes.select("node", "first", "copies", "size"), "node"), "homes")
         # a bucket whose members have k homes gives k * k / 2 pairs; as each of these homes is as large as the bucket, k is small
         met = home.select("home", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").agg(F.array_sort(F.collect_set("home")).alias("h"))
         other = F.transform("h", lambda x, i: F.struct(x.alias("a"), F.slice("h", i + 1, F.size("h") - i).alias("bs")))
@@ -234,7 +235,7 @@ class Classes:
             count = cut(home.groupBy(F.col("home").alias("b")).agg(F.count("*").alias("m")), "counts")
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
             into = both.join(small(count), "b").groupBy("a").agg(F.max(F.struct("m", "b")).getField("b").alias("into"), F.count("*").alias("n"))
-            into = cut(into.join(count.select(F.col("b").alias("a"), "m"), "a"), "into")
+            into = cut(into.join(small(count.withColumnRenamed("b", "a")), "a"), "into")
             heavy = F.col("n") >= heavy_from(pairs.count())
             left = spread_join(pairs, into.drop("m"), "a", heavy).select(F.col("into").alias("x"), F.col("b").alias("a"))
             pairs = cut(spread_join(left, into.drop("m"), "a", heavy).select(F.least("x", "into").alias("a"), F.greatest("x", "into").alias("b")).distinct(), "met")

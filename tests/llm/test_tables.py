@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import jaccard, mixing, topk, urlfilter, warc
+from lexmill.llm import common, jaccard, mixing, topk, urlfilter, warc
 from lexmill.llm.common import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,6 +221,7 @@ def test_many_homes(spark, monkeypatch):
     """Groups that hang together by chains, tiles and hubs of any size: as by brute force."""
     monkeypatch.setattr(jaccard, "TILE", 4)
     monkeypatch.setattr(jaccard, "HEAVY", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows, text = [], [word() for _ in range(120)]
