@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Script
 from ..functions.tokens import tokenize
 from ..functions.text import is_valid
+from ..store import cut
 
 
 def word_counts(texts: DataFrame, script: Script) -> DataFrame:
@@ -54,10 +55,11 @@ def merged(freqs: DataFrame, corpora: Sequence[str], weights: dict[str, float] |
 
 def ranked(words: DataFrame, by: str = "freq", out: str = "rank", zero: bool = False) -> DataFrame:
     """words with their place by descending frequency, then word. A global order of any size: rows are ranged over partitions, sorted
-    there, and numbered from the number of rows in the partitions before."""
+    there and stored once with their partition and place in it; the numbers of rows in the partitions before are taken from that table."""
     order = [F.desc(by), F.asc("word")]
-    parts = words.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = cut(words.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", place), "ranked")
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return parts.join(F.broadcast(before), "_p").withColumn(out, F.col("_i") + F.col("_before") + (0 if zero else 1)).drop("_p", "_i", "_before")
 
