@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def unigram_scores(valid: DataFrame) -> DataFrame:
     """(word, score): log10 of the frequency; words of none get log10 of the reciprocal of all mass."""
-    mass = valid.agg(F.sum("freq")).first()[0] or 1.0
-    return valid.select("word", F.when(F.col("freq") > 0, F.log10("freq")).otherwise(F.log10(F.lit(1.0 / mass))).alias("score"))
+    mass = valid.agg(F.coalesce(F.nullif(F.sum("freq"), F.lit(0.0)), F.lit(1.0)).alias("mass")).withColumn("_one", F.lit(1))  # one row
+    with_mass = valid.withColumn("_one", F.lit(1)).join(F.broadcast(mass), "_one")
+    return with_mass.select("word", F.when(F.col("freq") > 0, F.log10("freq")).otherwise(F.log10(1.0 / F.col("mass"))).alias("score"))
 
 
 def bigram_scores(kept: DataFrame, freqs: DataFrame) -> DataFrame:

@@ -49,6 +49,34 @@ def normalized_merged(grams: DataFrame, corpora: Sequence[str]) -> DataFrame:
     return grouped.select("n", *GRAM, total.alias("freq"))
 
 
+def wide_counts(tokens: DataFrame, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(n, w1, w2, w3, c0, c1, ...): counts by corpus, a column for each. One shuffle from tokens to all that merges need, after partial counts."""
+    return explode_grams(tokens, sizes).groupBy("n", *GRAM).agg(*[F.count_if(F.col("corpus") == c).alias(f"c{i}") for i, c in enumerate(corpora)])
+
+
+def measured(wide: DataFrame, corpora: Sequence[str], count_min: int = 2) -> DataFrame:
+    """(n, w1, w2, w3, cnt, freq, n_sources) of stored wide counts, without a shuffle: the sum of counts, the mean over corpora of shares of the
+    corpus's n-grams of the same size, and the number of corpora that count an n-gram count_min times or more."""
+    every = range(len(corpora))
+    totals = wide.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in every])  # a row for each size
+    w = shares(corpora)
+    cnt, freq, n_sources = F.lit(0).cast("long"), F.lit(0.0), F.lit(0).cast("long")
+    for i in every:
+        cnt = cnt + F.col(f"c{i}")
+        freq = freq + F.coalesce(F.try_divide(F.col(f"c{i}").cast("double"), F.col(f"t{i}").cast("double")), F.lit(0.0)) * F.lit(w[corpora[i]])
+        n_sources = n_sources + (F.col(f"c{i}") >= count_min).cast("long")
+    found = wide.join(F.broadcast(totals), "n").select("n", *GRAM, cnt.alias("cnt"), freq.alias("freq"), n_sources.alias("n_sources"))
+    return found.filter("cnt > 0")
+
+
+def within(grams: DataFrame, vocabulary: DataFrame, n: int, word: str = "word") -> DataFrame:
+    """N-grams of size n whose words are all in the vocabulary: what is left if other words are boundaries."""
+    kept = grams.filter(F.col("n") == n)
+    for k in GRAM[:n]:
+        kept = kept.join(vocabulary.select(F.col(word).alias(k)), k, "left_semi")
+    return kept
+
+
 def token_sources(grams: DataFrame, count_min: int = 2) -> DataFrame:
     """(word, n_sources): corpora in which the word is counted count_min times or more."""
     return grams.filter((F.col("n") == 1) & (F.col("cnt") >= count_min)).groupBy(F.col("w1").alias("word")).agg(F.count("*").alias("n_sources"))
@@ -64,7 +92,4 @@ def valid_tokens(vocabulary: DataFrame, sources: DataFrame, freqs: DataFrame, mi
 def surviving(raw: DataFrame, valid: DataFrame, n: int, min_count: int) -> DataFrame:
     """N-grams of size n that are counted often enough and whose words are all valid. The vocabulary is small or not as Spark's
     statistics say; the joins are plain semi joins."""
-    kept = raw.filter((F.col("n") == n) & (F.col("cnt") >= min_count))
-    for k in GRAM[:n]:
-        kept = kept.join(valid.select(F.col("word").alias(k)), k, "left_semi")
-    return kept
+    return within(raw.filter(F.col("cnt") >= min_count), valid, n)
