@@ -107,7 +107,7 @@ def syllable_variants(s: Syllable, known: Components) -> list[str]:
 
 def consistent(syllables: list[Syllable], known: Components, most: int) -> set[str]:
     """Variants of a word in which a component is spelled alike wherever it occurs in the same surroundings."""
-    names, options = [], {}
+    names, lists = [], {}
     for s in syllables:
         parts = component_variants(s, known)
         closed = "open" if not s.coda else "glide" if s.coda in GLIDES else "closed"
@@ -115,8 +115,9 @@ def consistent(syllables: list[Syllable], known: Components, most: int) -> set[s
         own = [("onset", "" if s.onset == "?" else s.onset), ("vowel", s.vowel, closed), ("coda", s.coda, after_i)]
         names.append(own)
         for name, values in zip(own, parts, strict=True):
-            first = options.setdefault(name, values)
-            options[name] = [v for v in first if v in values] or first
+            lists.setdefault(name, []).append(values)
+    # what all surroundings allow, or, if that is nothing, what the first does
+    options = {name: [v for v in own[0] if all(v in x for x in own)] or own[0] for name, own in lists.items()}
     place = {name: i for i, name in enumerate(options)}
     order = [place[name] for own in names for name in own]
     out: set[str] = set()
