@@ -67,9 +67,10 @@ def titled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wiki(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned texts of a MediaWiki dump, plain or .bz2, all pages of it."""
-    df = spark.read.format("xml").option("rowTag", "page").schema("title string, revision struct<text: string>").load(path)
-    return df.select(strip_space(clean_wikitext(F.col("revision.text"))).alias("text")).filter("text <> ''")
+    """Cleaned texts of a MediaWiki dump, plain or .bz2: every text of every revision of every page."""
+    df = spark.read.format("xml").option("rowTag", "page").schema("title string, revision array<struct<text: array<string>>>").load(path)
+    every = df.select(F.explode(F.flatten(F.transform("revision", lambda r: r["text"]))).alias("text"))
+    return every.select(strip_space(clean_wikitext(F.col("text"))).alias("text")).filter("text <> ''")
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:

@@ -11,8 +11,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import collapsed
-
 
 def _parts(df: DataFrame, single: bool) -> DataFrame:
     return df.coalesce(1) if single else df
@@ -33,8 +31,9 @@ def gram_freqs(freqs: DataFrame, n: int, path: str, min_freq: float = 0.0) -> No
 
 def token_files(tokens: DataFrame, path: str) -> None:
     """One token a line, an empty line for each boundary and after each document; documents without tokens are left out."""
-    t = tokens.select("corpus", collapsed(F.col("tokens")).alias("t")).filter(F.size("t") > 0)
-    t.select("corpus", F.concat(F.array_join("t", "\n", ""), F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("corpus").text(path)
+    lines = F.regexp_replace(F.regexp_replace(F.array_join("tokens", "\n", ""), r"\A\n+|\n+\z", ""), r"\n{3,}", "\n\n")
+    t = tokens.select("corpus", lines.alias("t")).filter("t <> ''")
+    t.select("corpus", F.concat("t", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("corpus").text(path)
 
 
 def wordlist(words: DataFrame, path: str, single: bool = False) -> None:
