@@ -67,10 +67,17 @@ first AS (SELECT word, round(freq, 12) AS frequency, len(sources) AS source_coun
 h AS (SELECT *, {NUCLEI} AS nuclei, len(regexp_extract_all(word, '[bcdfghjklmnpqrstvwxzßçñ]')) AS consonants, length(regexp_replace(word, '[^{W}]', '', 'g')) AS base_len,
     CASE WHEN max_rom = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(lower(max_rom), '[aeiouy]+'))) END AS rom_clusters,
     len(regexp_extract_all(lower(max_rom), '[^aeiouy\\s]')) AS rom_consonants FROM first)"""
-SEARCH = MERGED + f""",
-keys AS (SELECT word, round(freq, 12) AS freq FROM merged ORDER BY 2 DESC, 1 LIMIT 300),
-q AS (SELECT item_id AS query_id, substr(array_to_string(list_filter({TOKENIZE}, lambda token: {VALID})[1:3], ''), 1, 14) AS text FROM benchmark),
-edge AS (SELECT query_id, length(text) AS n, s - 1 AS s, s - 1 + length(word) AS e, word, -ln(greatest(freq, 1e-7)) + 0.5 AS c FROM q, unnest(range(1, length(text) + 1)) AS t(s), keys WHERE substr(text, s, length(word)) = word),
+KEYS = MERGED + """,
+keys AS (SELECT word, round(freq, 12) AS freq FROM merged)"""
+EDGES = f"""edge AS (SELECT query_id, len AS n, s - 1 AS s, s - 1 + k AS e, word, -ln(greatest(freq, 1e-7)) + 0.5 AS c
+  FROM (SELECT query_id, length(text) AS len, s, k, substr(text, s, k) AS piece FROM q, unnest(range(1, length(text) + 1)) AS t(s), unnest(range(1, 31)) AS u(k) WHERE s + k <= length(text) + 1) JOIN keys ON piece = word)"""
+TOGETHER = KEYS + f""",
+q AS (SELECT item_id AS query_id, array_to_string(list_filter({TOKENIZE}, lambda token: {VALID}), '') AS text FROM benchmark),
+{EDGES}"""
+SEARCH = KEYS + f""",
+bw AS (SELECT DISTINCT token FROM (SELECT unnest({TOKENIZE}) AS token FROM benchmark) WHERE {VALID}),
+q AS (SELECT token AS query_id, token AS text FROM bw),
+{EDGES},
 paths AS (SELECT query_id, n, e AS place, c AS cost, word AS words, word AS output FROM edge WHERE s = 0
   UNION ALL SELECT p.query_id, p.n, x.e, p.cost + x.c, p.words || ' ' || x.word, p.output || x.word FROM paths p JOIN edge x ON p.query_id = x.query_id AND p.place = x.s)"""
 WIKI = r"""
@@ -86,6 +93,17 @@ pairs AS (SELECT CASE WHEN length(token) % 3 = 0 THEN reverse(token) ELSE regexp
 rec AS (SELECT latin_input, expected, e.word IS NOT NULL AS has_word, coalesce(list_contains(romanizations, lower(latin_input)), false) AS has_key, len(romanizations) AS n_variants FROM pairs LEFT JOIN entries e ON e.word = expected)"""
 
 
+ITEMS = "d AS (SELECT doc_id, text, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents)"
+NUMBER = "CAST('0x' || substr(md5(query_id), 1, 15) AS BIGINT)"
+STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+PARTS = MERGED + """,
+best AS (SELECT x.word, s, max(k) AS k FROM (SELECT word, s, k, substr(word, s, k) AS piece FROM merged, unnest(range(1, length(word) + 1)) AS t(s), unnest(range(3, length(word))) AS u(k) WHERE length(word) >= 10 AND s + k <= length(word) + 1) x
+  SEMI JOIN merged m ON m.word = x.piece GROUP BY ALL),
+steps AS (SELECT word, 1 AS place, '' AS parts FROM merged WHERE length(word) >= 10
+  UNION ALL SELECT x.word, place + k, CASE WHEN parts = '' THEN '' ELSE parts || '|' END || substr(x.word, place, k) FROM steps x JOIN best b ON b.word = x.word AND b.s = x.place),
+done AS (SELECT word, parts FROM steps WHERE place = length(word) + 1)"""
+
+
 def rows(table: list[tuple], kind: str) -> str:
     return ", ".join(f"('{g}', {list(v)!r})" for k, g, v in table if k == kind)
 
@@ -174,16 +192,35 @@ SQL = {
         b AS (SELECT CASE item_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'bigram' ELSE 'compound' END AS type, CASE WHEN item_id % 3 = 0 THEN '' ELSE coalesce(t[1], '') END AS w1, coalesce(t[2], '') AS w2 FROM t),
         hit AS (SELECT type, CASE WHEN w1 <> '' AND w2 <> '' THEN EXISTS (SELECT 1 FROM raw r WHERE r.n = 2 AND r.w1 = b.w1 AND r.w2 = b.w2) ELSE EXISTS (SELECT 1 FROM raw r WHERE r.n = 1 AND r.w1 = CASE WHEN b.w2 <> '' THEN b.w2 ELSE b.w1 END) END AS ok FROM b)
         SELECT coalesce(type, 'TOTAL') AS type, count(*) AS total, count(*) FILTER (ok) AS hits FROM hit GROUP BY ROLLUP (type)""",
-    "metrics_mrr_p_at_k": """WITH b AS (SELECT item_id, string_split(text, ' ')[3] AS e FROM benchmark), d AS (SELECT doc_id % 40 AS item_id, string_split(text, ' ')[1:40] AS w FROM documents),
-        u AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS c FROM d), j AS (SELECT c, e FROM u JOIN b USING (item_id))
-        SELECT count(*) AS n, round(avg(CASE WHEN list_contains(c[1:1], e) THEN 1.0 ELSE 0.0 END), 9) AS p_at_1, round(avg(CASE WHEN list_contains(c[1:3], e) THEN 1.0 ELSE 0.0 END), 9) AS p_at_3, round(avg(CASE WHEN list_contains(c[1:10], e) THEN 1.0 ELSE 0.0 END), 9) AS p_at_10,
-        round(avg(CASE WHEN list_contains(c, e) THEN 1 / list_position(c, e) ELSE 0 END), 9) AS mrr, round(avg(CASE WHEN len(c) > 0 THEN 1.0 ELSE 0.0 END), 9) AS coverage FROM j""",
-    "metrics_word_f1": """WITH j AS (SELECT doc_id, list_distinct(string_split(d.text, ' ')) AS p, list_distinct(string_split(b.text, ' ')) AS e FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id), h AS (SELECT doc_id, len(list_intersect(p, e)) AS h, len(p) AS n, len(e) AS m FROM j)
+    "metrics_mrr_p_at_k": f"""WITH {ITEMS}, j AS (SELECT w, string_split(b.text, ' ')[3] AS e FROM (SELECT item_id, string_split(text, ' ') AS w FROM d) d JOIN benchmark b USING (item_id)),
+        r AS (SELECT len(w) AS n, CASE WHEN list_contains(w, e) THEN len(list_distinct(w[1:list_position(w, e)])) ELSE 0 END AS p FROM j)
+        SELECT count(*) AS n, round(avg(CASE WHEN p = 1 THEN 1.0 ELSE 0.0 END), 9) AS p_at_1, round(avg(CASE WHEN p BETWEEN 1 AND 3 THEN 1.0 ELSE 0.0 END), 9) AS p_at_3, round(avg(CASE WHEN p BETWEEN 1 AND 10 THEN 1.0 ELSE 0.0 END), 9) AS p_at_10,
+        round(avg(CASE WHEN p > 0 THEN 1 / p ELSE 0 END), 9) AS mrr, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 9) AS coverage FROM r""",
+    "metrics_word_f1": f"""WITH {ITEMS}, j AS (SELECT doc_id, list_distinct(string_split(d.text, ' ')) AS p, list_distinct(string_split(b.text, ' ')) AS e FROM d JOIN benchmark b USING (item_id)), h AS (SELECT doc_id, len(list_intersect(p, e)) AS h, len(p) AS n, len(e) AS m FROM j)
         SELECT doc_id, round(h / n, 9) AS precision, round(h / m, 9) AS recall, round(CASE WHEN h = 0 THEN 0 ELSE 2.0 * h / (n + m) END, 9) AS f1 FROM h""",
     "syllable_variants": SYLLABLES,
-    "lattice_edges": f"WITH RECURSIVE {SEARCH} SELECT query_id, s, e, word FROM edge",
-    "kbest_paths_exhaustive": f"WITH RECURSIVE {SEARCH} SELECT query_id, words, round(cost, 9) AS cost FROM paths WHERE place = n",
-    "kbest_paths_viterbi": f"WITH RECURSIVE {SEARCH}, o AS (SELECT query_id, output, min(cost) AS cost FROM paths WHERE place = n GROUP BY 1, 2) SELECT query_id, output, round(cost, 9) AS cost FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, output) = 1",
+    "lattice_edges": f"WITH {TOGETHER} SELECT query_id, s, e, word FROM edge",
+    "kbest_paths_exhaustive": f"WITH RECURSIVE {SEARCH} SELECT {NUMBER} AS query_id, words, round(cost, 9) AS cost FROM paths WHERE place = n",
+    "kbest_paths_viterbi": f"WITH RECURSIVE {SEARCH}, o AS (SELECT query_id, output, min(cost) AS cost FROM paths WHERE place = n GROUP BY 1, 2) SELECT {NUMBER} AS query_id, output, round(cost, 9) AS cost FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, output) = 1",
+    "compound_decompose": f"WITH RECURSIVE {PARTS} SELECT word, parts FROM done",
+    "wordlist_redistributed": f"""WITH RECURSIVE {PARTS},
+        given AS (SELECT unnest(string_split(parts, '|')) AS word, freq / len(string_split(parts, '|')) AS share, sources FROM done JOIN merged USING (word)),
+        more AS (SELECT word, sum(share) AS share, flatten(list(sources)) AS more FROM given GROUP BY word)
+        SELECT m.word, round(freq + coalesce(share, 0), 12) AS freq, array_to_string(list_sort(list_distinct(list_concat(sources, coalesce(more, [])))), '|') AS sources FROM merged m LEFT JOIN more USING (word) WHERE m.word NOT IN (SELECT word FROM done)""",
+    "source_lines": f"SELECT 'lines' AS corpus, {STRIPPED.format('t')} AS text FROM (SELECT regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS t FROM conversations) WHERE {STRIPPED.format('t')} <> ''",
+    "source_delimited": f"SELECT 'delimited' AS corpus, text FROM documents WHERE {STRIPPED.format('text')} <> ''",
+    "source_titled": "SELECT 'titled' AS corpus, 'No. ' || doc_id AS text FROM documents UNION ALL SELECT 'titled', text FROM documents WHERE text <> ''",
+    "source_wiki": "SELECT 'wiki' AS corpus, text FROM benchmark UNION ALL SELECT 'wiki', text FROM benchmark",
+    "source_words": f"WITH {MERGED} SELECT word FROM merged WHERE length(word) % 7 <> 0",
+    "file_gram_counts": f"WITH {GRAMS} SELECT w1, w2, cnt FROM raw WHERE n = 2",
+    "file_gram_freqs": f"WITH {GRAMS} SELECT w1, round(freq, 12) AS freq FROM gm WHERE n = 1",
+    "file_tokens": f"WITH {CNT} SELECT corpus, word, cnt FROM cnt",
+    "file_wordlist": f"WITH {MERGED} SELECT row_number() OVER (ORDER BY round(freq, 12) DESC, word) AS rank, word, round(freq, 12) AS frequency, CAST(len(sources) AS INTEGER) AS source_count, {SOURCES} FROM merged",
+    "file_first_words": f"WITH {MERGED} SELECT row_number() OVER (ORDER BY round(freq, 12) DESC, word) AS rank, word FROM merged QUALIFY rank <= 100",
+    "file_variants": f"WITH {MERGED} SELECT word, array_to_string({ROMS}, '|') AS romanizations FROM merged",
+    "file_flat_keys": f"WITH {IDS} SELECT word_id, word, unnest(romanizations) AS romanization_key, frequency, {SOURCES} FROM ided",
+    "file_report": f"WITH {LISTED}{PAIRS} SELECT latin_input, expected FROM pairs",
+    "corpus_sizes": f"WITH {SEQ}, d AS (SELECT lang AS corpus, count(*) AS texts FROM documents GROUP BY 1) SELECT corpus, texts, count(*) AS tokens, count(w) AS valid_tokens FROM d JOIN seq USING (corpus) GROUP BY ALL",
     "streaming_word_counts": f"WITH {CNT} SELECT * FROM cnt",
 }
 

@@ -11,6 +11,8 @@ from ..config import LATIN, SearchConfig, UNIGRAM_SEARCH, WordlistConfig
 from ..functions import text as T
 from ..functions.tokens import segments, tokenize, with_boundaries
 from ..operators import evaluation, frequency, lattice, model, ngrams, review, variants, wordlist
+from ..sources import readers, sinks
+from ..store import cut, new_path
 
 CORPORA = ["de", "en", "es", "fr"]
 WEIGHTS = {"de": 1.0, "en": 2.0, "es": 1.0, "fr": 1.0}
@@ -33,7 +35,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, sf_dir: str, weights: dict | None = None) -> DataFrame:
-    return frequency.merged(frequency.normalized(counts(spark, sf_dir)), CORPORA, weights)
+    """The merged word list, stored, as most that follows reads it more than once."""
+    return cut(frequency.merged(frequency.normalized(cut(counts(spark, sf_dir), "counts")), CORPORA, weights), "merged")
+
+
+def measured(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """All n-grams with their counts, frequencies and sources, from one shuffle, stored."""
+    return ngrams.measured(cut(ngrams.wide_counts(tokens(spark, sf_dir), CORPORA, sizes), "grams"), CORPORA)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,37 +141,35 @@ def q_ngram3_counts(s, d):
 
 
 def q_ngram_raw_merged(s, d):
-    return ngrams.raw_merged(grams(s, d))
+    return measured(s, d).filter("cnt >= 2").select("n", *ngrams.GRAM, "cnt")
 
 
 def q_ngram_norm_merged(s, d):
-    return ngrams.normalized_merged(grams(s, d), CORPORA).withColumn("freq", F.round("freq", 12))
+    return measured(s, d).select("n", *ngrams.GRAM, F.round("freq", 12).alias("freq"))
 
 
 def q_ngrams_vocab_filtered(s, d):
-    from ..functions.tokens import in_vocabulary
-
     top = counts(s, d).groupBy("word").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "word").limit(1000)
-    return ngrams.counts(in_vocabulary(tokens(s, d).drop("doc_id"), top), (2,)).select("corpus", "w1", "w2", "cnt")
+    return ngrams.within(grams(s, d, (2,)), top, 2).select("corpus", "w1", "w2", "cnt")
 
 
 def q_token_source_counts(s, d):
     return ngrams.token_sources(grams(s, d, (1,))).select("word", "n_sources")
 
 
-def valid(s, d, g):
-    vocabulary = g.filter("n = 1").select(F.col("w1").alias("word")).distinct()
-    freqs = ngrams.normalized_merged(g, CORPORA)
-    return ngrams.valid_tokens(vocabulary, ngrams.token_sources(g), freqs), freqs
+def valid(g):
+    """Valid tokens of measured n-grams, stored; the vocabulary is that of the corpora."""
+    uni = g.filter("n = 1").withColumnRenamed("w1", "word")
+    return cut(ngrams.valid_tokens(uni, uni.filter("n_sources > 0").select("word", "n_sources"), g.select("n", "w1", "freq")), "valid")
 
 
 def q_valid_tokens(s, d):
-    return valid(s, d, grams(s, d))[0].select("word", "n_sources", F.round("freq", 12).alias("freq"))
+    return valid(measured(s, d, (1,))).select("word", "n_sources", F.round("freq", 12).alias("freq"))
 
 
 def survivors(s, d, n):
-    g = grams(s, d)
-    return ngrams.surviving(ngrams.raw_merged(g), valid(s, d, g)[0], n, MIN_COUNT)
+    g = measured(s, d)
+    return ngrams.surviving(g, valid(g), n, MIN_COUNT)
 
 
 def q_surviving_bigrams(s, d):
@@ -174,11 +180,16 @@ def q_surviving_trigrams(s, d):
     return survivors(s, d, 3).select("w1", "w2", "w3", "cnt")
 
 
-def scores(s, d):
-    g = grams(s, d).persist()
-    v, freqs = valid(s, d, g)
-    raw = ngrams.raw_merged(g)
-    return model.unigram_scores(v), model.bigram_scores(ngrams.surviving(raw, v, 2, MIN_COUNT), freqs), model.trigram_scores(ngrams.surviving(raw, v, 3, MIN_COUNT), freqs)
+def scores(s, d, most=3):
+    """Score tables of sizes up to most."""
+    g = measured(s, d, tuple(range(1, most + 1)))
+    v = valid(g)
+    found = [model.unigram_scores(v)]
+    if most > 1:
+        found.append(model.bigram_scores(ngrams.surviving(g, v, 2, MIN_COUNT), g))
+    if most > 2:
+        found.append(model.trigram_scores(ngrams.surviving(g, v, 3, MIN_COUNT), g))
+    return found
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -186,11 +197,11 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def q_lm_unigram_scores(s, d):
-    return rounded(scores(s, d)[0], "score")
+    return rounded(scores(s, d, 1)[0], "score")
 
 
 def q_lm_bigram_scores(s, d):
-    return rounded(scores(s, d)[1], "score")
+    return rounded(scores(s, d, 2)[1], "score")
 
 
 def q_lm_trigram_scores(s, d):
@@ -425,43 +436,137 @@ def q_g2p_parse(s, d):
 
 
 def search_keys(s, d):
-    """Keys of the 300 most frequent words: the words themselves."""
-    top = merged(s, d).withColumn("freq", F.round("freq", 12)).orderBy(F.desc("freq"), "word").limit(300)
-    return top.select(F.col("word").alias("romanization_key"), F.crc32("word").alias("word_id"), "word", F.col("freq").alias("frequency"))
+    """Keys of all words: the words themselves."""
+    return merged(s, d).select(F.col("word").alias("romanization_key"), F.xxhash64("word").alias("word_id"), "word", F.round("freq", 12).alias("frequency"))
 
 
-def search_queries(s, d):
-    """The first letters of each benchmark text, two or three words run together."""
+def run_together(s, d):
+    """Whole benchmark texts, their words run together."""
     t = F.filter(tokenize(F.col("text"), LATIN), lambda x: T.is_valid(x, LATIN))
-    return read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(t, 1, 3), "").alias("input")).withColumn("input", F.substring("input", 1, 14))
-
-
-def lattice_of(s, d):
-    return lattice.edges(search_queries(s, d), search_keys(s, d))
+    return read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(t, "").alias("input"))
 
 
-def whole_lattice(s, d):
-    """Edges of all words in whole benchmark texts, their words run together."""
-    t = F.filter(tokenize(F.col("text"), LATIN), lambda x: T.is_valid(x, LATIN))
-    keys = merged(s, d).select(F.col("word").alias("romanization_key"), F.xxhash64("word").alias("word_id"), "word", F.round("freq", 12).alias("frequency"))
-    return lattice.edges(read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(t, "").alias("input")), keys)
+def single_words(s, d):
+    """Every distinct word of the benchmark texts, by a number of its own."""
+    w = read(s, d, "benchmark").select(F.explode(tokenize(F.col("text"), LATIN)).alias("input")).filter(T.is_valid(F.col("input"), LATIN)).distinct()
+    return w.select(F.conv(F.substring(F.md5("input"), 1, 15), 16, 10).cast("long").alias("query_id"), "input")
 
 
 def q_lattice_edges(s, d):
-    return whole_lattice(s, d).select("query_id", "s", "e", "word")
+    return lattice.edges(run_together(s, d), search_keys(s, d)).select("query_id", "s", "e", "word")
 
 
 def q_kbest_paths_exhaustive(s, d):
-    return rounded(lattice.exhaustive(lattice_of(s, d), UNIGRAM_SEARCH), "cost").select("query_id", "words", "cost")
+    found = lattice.exhaustive(cut(lattice.edges(single_words(s, d), search_keys(s, d)), "lattice"), UNIGRAM_SEARCH)
+    return rounded(found, "cost").select("query_id", "words", "cost")
 
 
 def q_kbest_paths_viterbi(s, d):
-    found = lattice.search(lattice_of(s, d), SearchConfig(penalty=0.5, floor=1e-7, ngram_weight=0.0, k=100_000))
+    found = lattice.search(lattice.edges(single_words(s, d), search_keys(s, d)), SearchConfig(penalty=0.5, floor=1e-7, ngram_weight=0.0, k=10))
     return rounded(found.filter("rank = 1"), "cost").select("query_id", "output", "cost")
 
 
 def q_beam_search_trigram(s, d):
-    return rounded(lattice.search(lattice_of(s, d), SearchConfig(), *scores(s, d)), "cost")
+    uni, bi, tri = (cut(x, "scores") for x in scores(s, d))
+    return rounded(lattice.search(cut(lattice.edges(run_together(s, d), search_keys(s, d)), "lattice"), SearchConfig(), uni, bi, tri), "cost")
+
+
+# ---- files: what a writer writes in the shared folder, as its reader reads it
+
+
+def q_source_lines(s, d):
+    """Lines of conversations from a text file, one each."""
+    path = new_path(s, "lines")
+    read(s, d, "conversations").select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.text(path)
+    return readers.texts(s, "lines", path)
+
+
+def q_source_delimited(s, d):
+    """Texts with line breaks and quotes from a file with `;`."""
+    path = new_path(s, "delimited")
+    read(s, d, "documents").select("text", F.lit("5").alias("rating")).write.csv(path, sep=";", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.texts(s, "delimited", path)
+
+
+def q_source_titled(s, d):
+    """Titles and bodies of JSON lines."""
+    path = new_path(s, "titled")
+    read(s, d, "documents").select(F.concat_ws(" ", F.lit("No."), "doc_id").alias("title"), F.col("text").alias("body_text")).write.json(path)
+    return readers.texts(s, "titled", path)
+
+
+def q_source_wiki(s, d):
+    """Texts of a dump in XML, two revisions a page."""
+    path = new_path(s, "wiki")
+    marked = lambda before, after: F.struct(F.concat(F.lit(before), "text", F.lit(after)).alias("text"))
+    revisions = F.array(marked("[[File:x.png]] [[x|", "]]"), marked("'" * 3, "'" * 3 + "<ref>r</ref>"))
+    read(s, d, "benchmark").select(F.concat_ws(" ", F.lit("Page"), "item_id").alias("title"), revisions.alias("revision")).write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
+    return readers.texts(s, "wiki", path)
+
+
+def q_source_words(s, d):
+    """A dictionary's words, without comments and blank lines."""
+    path = new_path(s, "words")
+    w = merged(s, d).select(F.when(F.length("word") % 7 == 0, F.concat(F.lit("# "), "word")).otherwise(F.concat(F.lit(" "), "word", F.lit("  "))).alias("value"))
+    w.unionByName(s.createDataFrame([("",), ("  ",), ("#",)], "value string")).write.text(path)
+    return readers.words(s, path)
+
+
+def q_file_gram_counts(s, d):
+    """Counts of bigrams, written as tab-separated lines and read again."""
+    path = new_path(s, "grams")
+    sinks.gram_counts(measured(s, d, (2,)), 2, path)
+    return readers.grams(s, path).select(F.get("gram", F.lit(0)).alias("w1"), F.get("gram", F.lit(1)).alias("w2"), F.col("value").cast("long").alias("cnt"))
+
+
+def q_file_gram_freqs(s, d):
+    path = new_path(s, "grams")
+    sinks.gram_freqs(measured(s, d, (1,)), 1, path)
+    return readers.grams(s, path).select(F.get("gram", F.lit(0)).alias("w1"), F.round("value", 12).alias("freq"))
+
+
+def q_file_tokens(s, d):
+    """Token files: the tokens of each corpus."""
+    path = new_path(s, "tokens")
+    sinks.token_files(tokens(s, d), path)
+    return s.read.text(path).filter("value <> ''").groupBy("corpus", F.col("value").alias("word")).agg(F.count("*").alias("cnt"))
+
+
+def q_file_wordlist(s, d):
+    path = new_path(s, "wordlist")
+    sinks.wordlist(frequency.wordlist(merged(s, d).withColumn("freq", F.round("freq", 12))), path)
+    return readers.wordlist(s, path).select(F.col("rank").cast("long"), "word", "frequency", F.col("source_count").cast("int"), F.array_join("sources", "|").alias("sources"))
+
+
+def q_file_first_words(s, d):
+    path = new_path(s, "wordlist")
+    sinks.wordlist(frequency.wordlist(merged(s, d).withColumn("freq", F.round("freq", 12))), path)
+    return readers.first_words(s, path, 100).select(F.col("rank").cast("long"), "word")
+
+
+def q_file_variants(s, d):
+    path = new_path(s, "variants")
+    sinks.variants(spelled(merged(s, d)), path)
+    return s.read.parquet(path).select("word", joined("romanizations"))
+
+
+def q_file_flat_keys(s, d):
+    path = new_path(s, "flat")
+    sinks.flat(wordlist.flat_keys(identified(s, d)), path)
+    return readers.table(s, path, "word_id long, word string, romanization_key string, frequency double, sources string")
+
+
+def q_file_report(s, d):
+    path = new_path(s, "report")
+    sinks.report(pairs(s, d), path)
+    # an empty field is read as null
+    return readers.table(s, path, "latin_input string, expected string", comments=True).withColumn("latin_input", F.coalesce("latin_input", F.lit("")))
+
+
+def q_corpus_sizes(s, d):
+    """Texts, tokens and valid tokens of each corpus."""
+    t = tokens(s, d)
+    return t.groupBy("corpus").agg(F.count("*").alias("texts"), F.sum(F.size("tokens")).cast("long").alias("tokens"), F.sum(F.size(F.array_compact("tokens"))).cast("long").alias("valid_tokens"))
 
 
 # ---- streams
@@ -472,10 +577,15 @@ def q_streaming_word_counts(s, d):
 
     schema = read(s, d, "documents").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*").select(F.col("lang").alias("corpus"), "text")
-    name = f"words_{abs(hash(d)) % 10**9}"
-    q = word_counts(stream, LATIN).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = new_path(s, "stream")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/updates/part={number}")
+
+    q = word_counts(stream, LATIN).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name)
+    updates = s.read.schema("corpus string, word string, cnt long, batch int").parquet(f"{path}/updates")
+    return updates.groupBy("corpus", "word").agg(F.max_by("cnt", "batch").alias("cnt"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.config import LATIN
+from lexmill.functions.tokens import segments, with_boundaries
 from lexmill.operators import frequency, model, ngrams
 
 CORPORA = ["x", "y"]
@@ -85,3 +86,34 @@ def test_ranks_are_dense_over_partitions(spark):
 def test_log_of_frequency(spark):
     v = spark.createDataFrame([("a", 0.5), ("b", 0.0)], "word string, freq double")
     assert {r.word: r.score for r in model.unigram_scores(v).collect()} == {"a": log10(0.5), "b": log10(2.0)}
+
+
+def test_ranks_are_dense_at_any_size(spark):
+    """Many partitions and a payload column, under adaptive execution: 1 to n, each once, in order."""
+    n = 3_000_000
+    words = spark.range(n).select(F.concat(F.lit("w"), "id").alias("word"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("freq"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    got = frequency.ranked(words)
+    r = got.agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count_if(F.length("payload") == 64).alias("whole")).first()
+    assert tuple(r) == (n, n, 1, n, n)
+    top = words.orderBy(F.desc("freq"), "word").limit(5).collect()
+    assert [x.word for x in got.filter("rank <= 5").orderBy("rank").collect()] == [x.word for x in top]
+
+
+def test_wide_counts_are_the_merges(spark):
+    rows = [("a", ["x", "y", None, "x"]), ("a", ["x", "y", "z"]), ("b", ["x"]), ("b", []), ("c", [None, "y", "x", "y"])]
+    tokens = spark.createDataFrame(rows, "corpus string, tokens array<string>")
+    corpora = ["a", "b", "c", "none"]
+    g = ngrams.counts(tokens)
+    m = ngrams.measured(ngrams.wide_counts(tokens, corpora), corpora)
+    key = lambda df, *c: sorted(map(str, df.select("n", "w1", "w2", "w3", *c).collect()))
+    assert key(m.filter("cnt >= 2"), "cnt") == key(ngrams.raw_merged(g), "cnt")
+    assert key(m, F.round("freq", 12).alias("f")) == key(ngrams.normalized_merged(g, corpora), F.round("freq", 12).alias("f"))
+    assert sorted(map(tuple, m.filter("n = 1 and n_sources > 0").select("w1", "n_sources").collect())) == sorted(map(tuple, ngrams.token_sources(g).select("word", "n_sources").collect()))
+
+
+def test_long_texts_have_segments(spark):
+    text = " ".join("12 wort" if i % 5 == 0 else "worte" for i in range(30_000))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "12"), (4, "ein 12 wort")], "id long, text string").select("id", with_boundaries(F.col("text"), LATIN).alias("tokens"))
+    got = segments(df)
+    assert got.filter("id = 1").agg(F.count("*"), F.max("seg_id"), F.max("pos")).first()[:] == (30_000, 6000, 36_000)
+    assert sorted(map(tuple, got.filter("id > 1").collect())) == [(4, 1, 0, "ein"), (4, 3, 1, "wort")]

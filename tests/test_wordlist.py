@@ -133,3 +133,15 @@ def test_batches_and_answers(spark):
 
     got = {r.batch: (r.known, r.unknown, r.error) for r in review.parsed(review.answered(b, ask)).collect()}
     assert got == {0: (["w0"], ["zz"], None), 1: ([], [], "TimeoutError: late")}
+
+
+def test_spellings_that_no_surroundings_share():
+    """A component in three surroundings whose lists have nothing in common is spelled as in the first."""
+    known = {"onset": {"k": ["k"]}, "vowel": {"a": ["x"], "i": ["i"]}, "coda": {}}
+    lists = iter([(["k"], ["x", "y"], [""]), (["k"], ["y", "z"], [""]), (["k"], ["z", "x"], [""])])
+    original, variants.component_variants = variants.component_variants, lambda s, k: next(lists)
+    try:
+        got = variants.consistent([variants.Syllable("k", "a", "", "") for _ in range(3)], known, 20)
+    finally:
+        variants.component_variants = original
+    assert got == {"kxkxkx", "kykyky"}
