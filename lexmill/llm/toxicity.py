@@ -236,7 +236,7 @@ class Table:
     def combined(self, by: np.ndarray) -> Table:
         """One function: the sum of the columns, each times its share."""
         out = object.__new__(Table)
-        out.row, out.weights = self.row, (self.weights @ by)[:, None].astype(np.float32)
+        out.row, out.weights = self.row, (self.weights @ by)[:, None].astype(np.float64)  # so that sums don't depend on what is summed beside them
         return out
 
     def products(self, units: Units, pick: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ class Table:
                     key, w = subsequences(rows[s : s + step], x)
                     index = self.row[x][key]
                     if columns == 1:
-                        found = self.weights[:, 0][index] @ w.astype(np.float32)
+                        found = self.weights[:, 0][index] @ w
                         out[at[s : s + step], 0] += found / norm[x][s : s + step]
                     else:
                         out[at[s : s + step]] += np.einsum("nct,c->nt", self.weights[index], w.astype(np.float32)) / norm[x][s : s + step, None]
