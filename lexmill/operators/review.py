@@ -142,6 +142,14 @@ def parsed(answers: DataFrame) -> DataFrame:
     return a.withColumn("known", F.array_intersect("lines", "words")).withColumn("unknown", F.array_except("lines", "words")).drop("lines")
 
 
+def logged(answers: DataFrame, path: str, run: str) -> DataFrame:
+    """Appends parsed answers as JSON lines in order of batches under the name of their run, and returns (batch, error) of those that failed."""
+    n = lambda c: F.size(c).alias(f"n_{c}")
+    rows = answers.select(F.lit(run).alias("run"), "batch", n("words"), n("known"), "unknown", "answer", "error")
+    rows.orderBy("batch").write.mode("append").json(path)
+    return answers.filter(F.col("error").isNotNull()).select("batch", "error")
+
+
 def candidates(parsed_: DataFrame) -> DataFrame:
     """(word): all known words of all answers, once."""
     return parsed_.select(F.explode("known").alias("word")).distinct()

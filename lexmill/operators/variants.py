@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice, product
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,6 +106,11 @@ def syllable_variants(s: Syllable, known: Components) -> list[str]:
     return sorted({"".join(x) for x in product(*component_variants(s, known))})
 
 
+def product_size(syllables: list[Syllable], known: Components) -> int:
+    """How many spellings a word has if each component is spelled for itself: 1 without syllables."""
+    return prod(len(c) for s in syllables for c in component_variants(s, known))
+
+
 def consistent(syllables: list[Syllable], known: Components, most: int) -> set[str]:
     """Variants of a word in which a component is spelled alike wherever it occurs in the same surroundings."""
     names, lists = [], {}

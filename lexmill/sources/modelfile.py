@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,14 @@ def build_info(days: int, commit: int) -> int:
     return (days & 0xFFFF) << 16 | commit & 0xFFFF
 
 
+def numbered(vocabulary: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """Scores (w1 .. wn, score) with ids (i1 .. in) for words, sorted by them; n-grams with words outside the vocabulary are left out."""
+    ids = [f"i{k}" for k in range(1, n + 1)]
+    for k in range(1, n + 1):  # at most 65,535 words
+        scores = scores.join(F.broadcast(vocabulary.select(F.col("word_id").alias(f"i{k}"), F.col("word").alias(f"w{k}"))), f"w{k}")
+    return scores.select(*ids, "score").orderBy(*ids)
+
+
 def write(path: str, vocabulary: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame, min_count: int, alpha: float = 0.4, build: int = 0) -> Header:
     """Writes scores (word / w1, w2 / w1, w2, w3, score) of a vocabulary (word_id, word) with ids 0 .. n - 1. Words without a score get the least score of
     all (-10 if there is none); n-grams with words outside the vocabulary are left out."""
@@ -51,9 +60,7 @@ def write(path: str, vocabulary: DataFrame, uni: DataFrame, bi: DataFrame, tri:
         raise ValueError(f"a word of {bytes_} bytes; at most 255 fit")
     floor = uni.agg(F.min("score")).first()[0]
     floor = -10.0 if floor is None else floor
-    ids = lambda k: F.broadcast(vocabulary.select(F.col("word_id").alias(f"i{k}"), F.col("word").alias(f"w{k}")))  # noqa: E731  at most 65,535 words
-    two = bi.join(ids(1), "w1").join(ids(2), "w2").select("i1", "i2", "score").orderBy("i1", "i2")
-    three = tri.join(ids(1), "w1").join(ids(2), "w2").join(ids(3), "w3").select("i1", "i2", "i3", "score").orderBy("i1", "i2", "i3")
+    two, three = numbered(vocabulary, bi, 2), numbered(vocabulary, tri, 3)
     words = vocabulary.join(uni.select("word", "score"), "word", "left").select("word_id", "word", F.coalesce("score", F.lit(floor)).alias("score")).orderBy("word_id").collect()
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     n2 = n3 = 0
@@ -117,3 +124,24 @@ def verify(path: str, vocabulary: list[str], uni: dict, bi: dict, tri: dict) ->
     if (header.n_bigrams, header.n_trigrams) != (len(bi), len(tri)):
         wrong.append("the header's counts differ")
     return wrong
+
+
+def differences(path: str, vocabulary: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame) -> list[str]:
+    """What in a file differs from the tables that write() takes, first of each kind. Rows of both sides come sorted and are compared one by one,
+    so that the driver holds no table but the string table."""
+    header, words, scores, two, three = parse(path)
+    single = lambda x: SCORE.unpack(SCORE.pack(x))[0]
+    wrong = []
+    given = vocabulary.join(uni.select("word", "score"), "word", "left").orderBy("word_id").select("word", "score").collect()  # at most 65,535 words
+    if words != [r["word"] for r in given]:
+        return ["the string table differs"]
+    known = [r["score"] for r in given if r["score"] is not None]
+    floor = uni.agg(F.min("score")).first()[0] if known or uni.limit(1).count() else -10.0
+    wrong += [f"the score of word {i} differs" for i, (s, r) in enumerate(zip(scores, given, strict=True)) if s != single(floor if r["score"] is None else r["score"])][:1]
+    for n, found, table, total in ((2, two, bi, header.n_bigrams), (3, three, tri, header.n_trigrams)):
+        want = ((*r[:-1], single(r[-1])) for r in numbered(vocabulary, table, n).toLocalIterator(prefetchPartitions=True))
+        for i, (a, b) in enumerate(zip_longest(found, want)):
+            if a != b:
+                wrong.append(f"row {i} of {total} with {n} words differs: {a} instead of {b}")
+                break
+    return wrong
