@@ -13,6 +13,7 @@ from ..config import Config
 from ..functions.tokens import with_boundaries
 from ..operators import frequency, model, ngrams, wordlist
 from ..sources import readers
+from ..store import cut
 
 
 def stage(spark: SparkSession, folder: str, name: str, config: object, build: Callable[[], DataFrame], fresh: bool = False) -> DataFrame:
@@ -29,8 +30,7 @@ def words_of(texts: DataFrame, corpora: Sequence[str], config: Config, dictionar
     if dictionary is not None:
         counts = counts.unionByName(frequency.dictionary_counts(dictionary, config.wordlist.exempt_source, config.script))
         corpora = [*corpora, config.wordlist.exempt_source]
-    merged = frequency.merged(frequency.normalized(counts), corpora)
-    merged = merged.persist()
+    merged = cut(frequency.merged(frequency.normalized(cut(counts, "counts")), corpora), "merged")
     parts = wordlist.decompositions(merged, config.wordlist.compound_min_chars, config.wordlist.part_min_chars)
     return wordlist.redistributed(merged, parts)
 
