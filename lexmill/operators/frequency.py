@@ -11,11 +11,14 @@ from ..config import Script
 from ..functions.tokens import tokenize
 from ..functions.text import is_valid
 from ..store import cut
+from . import batches
 
 
 def word_counts(texts: DataFrame, script: Script) -> DataFrame:
-    """(corpus, word, cnt) of valid tokens. Raw tokens are counted first, partly before the shuffle; validity is then judged once for each
-    distinct token."""
+    """(corpus, word, cnt) of valid tokens, counted partly before the shuffle: by tasks in batches, or, for scripts whose tokens are more than runs of
+    letters, as raw tokens whose validity is then judged once for each distinct one."""
+    if batches.plain(script):
+        return batches.counted(texts, script, (1,)).groupBy("corpus", F.col("gram").alias("word")).agg(F.sum("cnt").alias("cnt"))
     raw = texts.select("corpus", F.explode(tokenize(F.col("text"), script)).alias("word"))
     return raw.groupBy("corpus", "word").agg(F.count("*").alias("cnt")).filter(is_valid(F.col("word"), script))
 

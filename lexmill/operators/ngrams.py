@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Script
+from ..functions.tokens import with_boundaries
+from ..store import cut
+from . import batches
 from .frequency import shares
 
 GRAM = ["w1", "w2", "w3"]
@@ -49,16 +54,93 @@ def normalized_merged(grams: DataFrame, corpora: Sequence[str]) -> DataFrame:
     return grouped.select("n", *GRAM, total.alias("freq"))
 
 
+def words_of_gram() -> list:
+    """n, w1, w2 and w3 of a column gram, words joined by spaces."""
+    parts = F.split("gram", " ")
+    return [F.size(parts).alias("n"), *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(GRAM)]]
+
+
+def listed(vocabulary: DataFrame, word: str = "word", limit: int = 2_000_000) -> list[str] | None:
+    """The words of a vocabulary, or None if there are more than limit."""
+    own = cut(vocabulary.select(F.col(word).alias("word")).filter("word is not null").distinct(), "vocabulary")
+    return None if own.count() > limit else [r[0] for r in own.toLocalIterator()]
+
+
+def text_counts(texts: DataFrame, script: Script, sizes: Sequence[int] = (1, 2, 3), vocabulary: DataFrame | None = None) -> DataFrame:
+    """counts() of whole texts (corpus, text), with those n-grams only whose words are all in the vocabulary, if given. One shuffle of what tasks have
+    counted, dealt out by n-gram to as many partitions as the texts need."""
+    words = None if vocabulary is None else listed(vocabulary)
+    if not batches.plain(script) or (vocabulary is not None and words is None):
+        found = counts(texts.select("corpus", with_boundaries(F.col("text"), script).alias("tokens")), sizes)
+        if vocabulary is None:
+            return found
+        return reduce(DataFrame.unionByName, [within(found, vocabulary, n) for n in sizes])
+    found = batches.counted(texts, script, sizes, vocabulary=words)
+    if words is None:
+        found = found.repartition(batches.partitions(texts, len(sizes)), "gram")
+    return found.groupBy("corpus", "gram").agg(F.sum("cnt").alias("cnt")).select("corpus", *words_of_gram(), "cnt")
+
+
+def text_totals(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(n, t0, t1, ...): the number of n-grams of each corpus, from tasks' counts without a shuffle of n-grams."""
+    return wide_totals(batches.counted(texts, script, (), sizes), corpora)
+
+
+def wide_totals(counted: DataFrame, corpora: Sequence[str]) -> DataFrame:
+    return cut(counted.filter("gram is null").groupBy("n").agg(*[F.sum(F.when(F.col("corpus") == c, F.col("cnt")).otherwise(0)).alias(f"t{i}") for i, c in enumerate(corpora)]), "totals")
+
+
+def wide(counted: DataFrame, corpora: Sequence[str]) -> DataFrame:
+    """wide_counts() of rows (corpus, gram, cnt)."""
+    return counted.groupBy("gram").agg(*[F.sum(F.when(F.col("corpus") == c, F.col("cnt")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(corpora)])
+
+
+def text_measured(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3), count_min: int = 2) -> DataFrame:
+    """measured() of whole texts. Totals come from a pass of their own, so that n-grams are shuffled once and not stored."""
+    if not batches.plain(script):
+        tokens = texts.select("corpus", with_boundaries(F.col("text"), script).alias("tokens"))
+        return measured(cut(wide_counts(tokens, corpora, sizes), "grams"), corpora, count_min)
+    found = wide(batches.counted(texts, script, sizes).repartition(batches.partitions(texts, len(sizes)), "gram"), corpora)
+    own = [f"c{i}" for i in range(len(corpora))]
+    return measured(found.select(*words_of_gram(), *own), corpora, count_min, text_totals(texts, script, corpora, sizes))
+
+
+def text_model(texts: DataFrame, script: Script, corpora: Sequence[str], most: int, min_count: int, inside: DataFrame | None = None, min_sources: int = 2, min_frequency: float = 5e-6) -> tuple[DataFrame, DataFrame]:
+    """What a model of whole texts is made from, both stored: the valid tokens of the corpora, (word, n_sources, freq), and the measured n-grams of
+    sizes up to most that are counted min_count times or more and whose words are all valid; with inside (word), those of its words only.
+    Valid tokens are 1 / min_frequency at most, as their frequencies add up to 1: tasks look them up and count no other n-grams. An
+    n-gram that is kept has its first words kept, as those are counted as often at least."""
+    if not batches.plain(script):
+        g = text_measured(texts, script, corpora, range(1, most + 1))
+        uni = g.filter("n = 1").withColumnRenamed("w1", "word")
+        valid = cut(valid_tokens(uni, uni.filter("n_sources > 0").select("word", "n_sources"), g.select("n", "w1", "freq"), min_sources, min_frequency), "valid")
+        return valid, cut(reduce(DataFrame.unionByName, [surviving(g, valid, n, min_count) for n in range(1, most + 1)]).select("n", *GRAM, "cnt", "freq", "n_sources"), "kept")
+    own = [f"c{i}" for i in range(len(corpora))]
+    first = cut(batches.counted(texts, script, (1,), range(1, most + 1)).groupBy("corpus", "n", "gram").agg(F.sum("cnt").alias("cnt")), "counted")
+    totals = wide_totals(first, corpora)
+    uni = measured(wide(first.filter("gram is not null"), corpora).select(*words_of_gram(), *own), corpora, 2, totals)
+    valid = cut(uni.filter((F.col("n_sources") >= max(min_sources, 1)) & (F.col("freq") >= min_frequency)).select(F.col("w1").alias("word"), "n_sources", "freq", "cnt"), "valid")
+    kept = valid.filter(F.col("cnt") >= min_count).select(F.lit(1).alias("n"), F.col("word").alias("w1"), *[F.lit(None).cast("string").alias(k) for k in GRAM[1:]], "cnt", "freq", "n_sources")
+    if most > 1:
+        words = [r[0] for r in (valid if inside is None else valid.join(inside.select("word").distinct(), "word", "left_semi")).select("word").toLocalIterator()]
+        found = wide(batches.counted(texts, script, range(2, most + 1), vocabulary=words).repartition(batches.partitions(texts, most - 1), "gram"), corpora)
+        frequent = found.filter(sum((F.col(c) for c in own), F.lit(0)) >= min_count)
+        kept = kept.unionByName(measured(frequent.select(*words_of_gram(), *own), corpora, 2, totals))
+    return valid.drop("cnt"), cut(kept, "kept")
+
+
 def wide_counts(tokens: DataFrame, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """(n, w1, w2, w3, c0, c1, ...): counts by corpus, a column for each. One shuffle from tokens to all that merges need, after partial counts."""
     return explode_grams(tokens, sizes).groupBy("n", *GRAM).agg(*[F.count_if(F.col("corpus") == c).alias(f"c{i}") for i, c in enumerate(corpora)])
 
 
-def measured(wide: DataFrame, corpora: Sequence[str], count_min: int = 2) -> DataFrame:
-    """(n, w1, w2, w3, cnt, freq, n_sources) of stored wide counts, without a shuffle: the sum of counts, the mean over corpora of shares of the
-    corpus's n-grams of the same size, and the number of corpora that count an n-gram count_min times or more."""
+def measured(wide: DataFrame, corpora: Sequence[str], count_min: int = 2, totals: DataFrame | None = None) -> DataFrame:
+    """(n, w1, w2, w3, cnt, freq, n_sources) of wide counts, without a shuffle: the sum of counts, the mean over corpora of shares of the
+    corpus's n-grams of the same size, and the number of corpora that count an n-gram count_min times or more. Without totals (n, t0, t1, ...)
+    these are summed from the wide counts, which should be stored then."""
     every = range(len(corpora))
-    totals = wide.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in every])  # a row for each size
+    if totals is None:
+        totals = wide.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in every])  # a row for each size
     w = shares(corpora)
     cnt, freq, n_sources = F.lit(0).cast("long"), F.lit(0.0), F.lit(0).cast("long")
     for i in every:

@@ -40,8 +40,8 @@ def merged(spark: SparkSession, sf_dir: str, weights: dict | None = None) -> Dat
 
 
 def measured(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """All n-grams with their counts, frequencies and sources, from one shuffle, stored."""
-    return ngrams.measured(cut(ngrams.wide_counts(tokens(spark, sf_dir), CORPORA, sizes), "grams"), CORPORA)
+    """All n-grams with their counts, frequencies and sources, from one shuffle."""
+    return ngrams.text_measured(corpus(spark, sf_dir), LATIN, CORPORA, sizes)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grams(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    return ngrams.counts(tokens(spark, sf_dir), sizes)
+    return ngrams.text_counts(corpus(spark, sf_dir), LATIN, sizes)
 
 
 def spelled(words: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def q_word_counts(s, d):
 
 
 def q_word_freq_normalized(s, d):
-    return frequency.normalized(counts(s, d))
+    return frequency.normalized(cut(counts(s, d), "counts"))
 
 
 def q_word_freq_merged(s, d):
@@ -109,7 +109,9 @@ def q_wordlist_ranked(s, d):
 
 
 def q_topk_words_with_ranks(s, d):
-    return frequency.top_with_ranks(merged(s, d).withColumn("freq", F.round("freq", 12)), frequency.normalized(counts(s, d)), CORPORA, 500)
+    freqs = frequency.normalized(cut(counts(s, d), "counts"))
+    m = cut(frequency.merged(freqs, CORPORA), "merged")
+    return frequency.top_with_ranks(m.withColumn("freq", F.round("freq", 12)), freqs, CORPORA, 500)
 
 
 def q_source_word_stats(s, d):
@@ -150,26 +152,19 @@ def q_ngram_norm_merged(s, d):
 
 def q_ngrams_vocab_filtered(s, d):
     top = counts(s, d).groupBy("word").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "word").limit(1000)
-    return ngrams.within(grams(s, d, (2,)), top, 2).select("corpus", "w1", "w2", "cnt")
+    return ngrams.text_counts(corpus(s, d), LATIN, (2,), top).select("corpus", "w1", "w2", "cnt")
 
 
 def q_token_source_counts(s, d):
     return ngrams.token_sources(grams(s, d, (1,))).select("word", "n_sources")
 
 
-def valid(g):
-    """Valid tokens of measured n-grams, stored; the vocabulary is that of the corpora."""
-    uni = g.filter("n = 1").withColumnRenamed("w1", "word")
-    return cut(ngrams.valid_tokens(uni, uni.filter("n_sources > 0").select("word", "n_sources"), g.select("n", "w1", "freq")), "valid")
-
-
 def q_valid_tokens(s, d):
-    return valid(measured(s, d, (1,))).select("word", "n_sources", F.round("freq", 12).alias("freq"))
+    return ngrams.text_model(corpus(s, d), LATIN, CORPORA, 1, MIN_COUNT)[0].select("word", "n_sources", F.round("freq", 12).alias("freq"))
 
 
 def survivors(s, d, n):
-    g = measured(s, d)
-    return ngrams.surviving(g, valid(g), n, MIN_COUNT)
+    return ngrams.text_model(corpus(s, d), LATIN, CORPORA, n, MIN_COUNT)[1].filter(F.col("n") == n)
 
 
 def q_surviving_bigrams(s, d):
@@ -180,15 +175,15 @@ def q_surviving_trigrams(s, d):
     return survivors(s, d, 3).select("w1", "w2", "w3", "cnt")
 
 
-def scores(s, d, most=3):
-    """Score tables of sizes up to most."""
-    g = measured(s, d, tuple(range(1, most + 1)))
-    v = valid(g)
+def scores(s, d, most=3, inside=None):
+    """Score tables of sizes up to most; with inside (word), bigrams and trigrams of its words only."""
+    v, g = ngrams.text_model(corpus(s, d), LATIN, CORPORA, most, MIN_COUNT, inside)
+    freqs = g.filter("n > 1").unionByName(v.select(F.lit(1).alias("n"), F.col("word").alias("w1"), "freq"), allowMissingColumns=True)
     found = [model.unigram_scores(v)]
     if most > 1:
-        found.append(model.bigram_scores(ngrams.surviving(g, v, 2, MIN_COUNT), g))
+        found.append(model.bigram_scores(g.filter("n = 2"), freqs))
     if most > 2:
-        found.append(model.trigram_scores(ngrams.surviving(g, v, 3, MIN_COUNT), g))
+        found.append(model.trigram_scores(g.filter("n = 3"), freqs))
     return found
 
 
@@ -211,7 +206,9 @@ def q_lm_trigram_scores(s, d):
 def q_sbo_backoff_lookup(s, d):
     b = read(s, d, "benchmark").select(F.lit("q").alias("corpus"), with_boundaries(F.col("text"), LATIN).alias("tokens"))
     q = ngrams.explode_grams(b, (3,)).select(F.col("w1").alias("prev2"), F.col("w2").alias("prev1"), F.col("w3").alias("word")).distinct()
-    return model.lookup(q, *scores(s, d)).select("prev2", "prev1", "word", F.round("prob", 12).alias("prob"))
+    q = cut(q, "asked")
+    asked = q.select(F.explode(F.array("prev2", "prev1", "word")).alias("word"))
+    return model.lookup(q, *[cut(x, "scores") for x in scores(s, d, inside=asked)]).select("prev2", "prev1", "word", F.round("prob", 12).alias("prob"))
 
 
 # ---- cleaning
@@ -379,7 +376,8 @@ def q_benchmark_missed(s, d):
 def q_ranking_coverage_rollup(s, d):
     b = read(s, d, "benchmark").select("item_id", tokenize(F.col("text"), LATIN).alias("t"))
     b = b.select(F.when(F.col("item_id") % 3 == 0, "baseline").when(F.col("item_id") % 3 == 1, "bigram").otherwise("compound").alias("type"), F.when(F.col("item_id") % 3 == 0, "").otherwise(F.get("t", F.lit(0))).alias("context"), F.get("t", F.lit(1)).alias("expected_top"))
-    g = ngrams.raw_merged(grams(s, d))
+    asked = b.select(F.explode(F.array("context", "expected_top")).alias("word"))
+    g = cut(ngrams.raw_merged(ngrams.text_counts(corpus(s, d), LATIN, (1, 2), asked)), "asked")
     return evaluation.ranking_coverage(b, g.filter("n = 1").select(F.col("w1").alias("word")), g.filter("n = 2"))
 
 
@@ -467,8 +465,9 @@ def q_kbest_paths_viterbi(s, d):
 
 
 def q_beam_search_trigram(s, d):
-    uni, bi, tri = (cut(x, "scores") for x in scores(s, d))
-    return rounded(lattice.search(cut(lattice.edges(run_together(s, d), search_keys(s, d)), "lattice"), SearchConfig(), uni, bi, tri), "cost")
+    found = cut(lattice.edges(run_together(s, d), search_keys(s, d)), "lattice")
+    uni, bi, tri = (cut(x, "scores") for x in scores(s, d, inside=found.select("word")))
+    return rounded(lattice.search(found, SearchConfig(), uni, bi, tri), "cost")
 
 
 # ---- files: what a writer writes in the shared folder, as its reader reads it
