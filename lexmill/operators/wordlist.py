@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Script, WordlistConfig
 from ..functions.text import base_length
+from ..store import cut
 from .frequency import ranked
 
 OVERRIDES = "overrides"
@@ -51,21 +52,23 @@ def decompositions(words: DataFrame, compound_min: int = 10, part_min: int = 3,
 
 
 def decompositions_joined(words: DataFrame, compound_min: int = 10, part_min: int = 3) -> DataFrame:
-    """The same for vocabularies of any size: all pieces of long words meet the vocabulary in one join; what is found is folded per word."""
-    long = words.filter(F.length("word") >= compound_min).select("word")
-    at = long.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s")).withColumn("n", F.explode(F.sequence(F.lit(part_min), F.greatest(F.length("word") - F.col("s") + 1, F.lit(part_min)))))
-    piece = at.filter((F.col("s") + F.col("n") - 1 <= F.length("word")) & (F.col("n") < F.length("word"))).withColumn("piece", F.substring("word", F.col("s"), F.col("n")))
-    known = piece.join(words.select(F.col("word").alias("piece")), "piece", "left_semi")
-    best = known.groupBy("word", "s").agg(F.max("n").alias("n")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("m"))
-    empty = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(1).alias("at"))
-    word = F.col("word")
-
-    def step(a: Column, _: Column) -> Column:
-        n = F.try_element_at(F.col("m"), a["at"])
-        return F.when(n.isNotNull(), F.struct(F.concat(a["parts"], F.array(F.substring(word, a["at"], n))).alias("parts"), (a["at"] + n).alias("at"))).otherwise(a)
-
-    folded = best.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), empty, step).alias("a"))
-    return folded.filter((F.col("a.at") == F.length("word") + 1) & (F.size("a.parts") > 1)).select("word", "a.parts")
+    """The same for vocabularies of any size, in rounds, one for each part: of the words that have been split so far, the pieces that begin where
+    the last part ended meet the vocabulary in one join, and the longest goes on. So no piece is made at a place that no split reaches."""
+    size, last = F.length("word"), F.col("at") + F.col("n")
+    pending = cut(words.filter(size >= compound_min).select("word", F.lit(1).alias("at"), F.lit("").alias("cuts")), "split")
+    done = None
+    while not pending.isEmpty():
+        most = F.least(size - F.col("at") + 1, size - 1)
+        piece = pending.filter(most >= part_min).withColumn("n", F.explode(F.sequence(F.lit(part_min), F.greatest(most, F.lit(part_min))))).withColumn("piece", F.substring("word", F.col("at"), F.col("n")))
+        best = piece.join(words.select(F.col("word").alias("piece")), "piece", "left_semi").groupBy("word", "at", "cuts").agg(F.max("n").alias("n"))
+        step = cut(best.select("word", last.alias("at"), F.concat("cuts", F.lit(" "), "at", F.lit(","), "n").alias("cuts")), "split")
+        over, pending = step.filter(F.col("at") > size), step.filter(F.col("at") <= size)
+        done = over if done is None else done.unionByName(over)
+    if done is None:
+        return pending.select("word", F.array().cast("array<string>").alias("parts"))
+    pair = lambda x: F.transform(F.split(x, ","), lambda i: i.cast("int"))
+    parts = F.transform(F.split(F.ltrim("cuts"), " "), lambda x: F.substring(F.col("word"), pair(x)[0], pair(x)[1]))
+    return done.select("word", parts.alias("parts"))
 
 
 def redistributed(words: DataFrame, parts: DataFrame) -> DataFrame:

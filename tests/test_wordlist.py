@@ -1,5 +1,7 @@
 from itertools import product
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,21 @@ def test_spellings_that_no_surroundings_share():
     finally:
         variants.component_variants = original
     assert got == {"kxkxkx", "kykyky"}
+
+
+def test_joined_decompositions_go_on_from_reached_places_only(spark):
+    """Equal to the set's way on words of few letters, and no table of all pieces of a long word, of which there are two millions here."""
+    r = random.Random(5)
+    words = sorted({"".join(r.choices("abc", k=r.randrange(1, 15))) for _ in range(400)} | {"abcabcabca", "d" * 2000, "abc" * 12})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    split = wordlist.decomposer(set(words))
+    want = {w: p for w in words if len(w) >= 10 and (p := split(w))}
+    made = []
+    original = wordlist.cut
+    try:
+        wordlist.cut = lambda df, name="stage": (made.append(df._jdf.queryExecution().optimizedPlan().toString()), original(df, name))[1]
+        got = {x.word: x.parts for x in wordlist.decompositions_joined(df).collect()}
+    finally:
+        wordlist.cut = original
+    assert got == want and len(want) > 20 and max(map(len, want.values())) > 3
+    assert made and all(p.count("Generate") <= 1 for p in made)
