@@ -232,7 +232,7 @@ def q_compound_decompose(s, d):
 
 def q_wordlist_redistributed(s, d):
     m = merged(s, d)
-    return wordlist.redistributed(m, wordlist.decompositions(m.select("word"))).select("word", F.round("freq", 12).alias("freq"), joined("sources"))
+    return wordlist.redistributed(m, cut(wordlist.decompositions(m.select("word")), "parts")).select("word", F.round("freq", 12).alias("freq"), joined("sources"))
 
 
 def q_overrides_upsert(s, d):
