@@ -245,6 +245,38 @@ def counted(texts: DataFrame, script: Script, sizes: Sequence[int], totals: Sequ
     return texts.select("corpus", F.lower("text").alias("text")).mapInArrow(counter(script, tuple(sizes), tuple(totals), own), COUNTS)
 
 
+def liner(script: Script) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([("corpus", pa.string()), ("t", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = cutter_of(script)
+        for batch in slices(batches, "text"):
+            words, joined, text, _ = cutter.cut(batch.column("text"))
+            if not len(words):
+                continue
+            good = cutter.valid(words.dictionary)[words.indices.to_numpy()]
+            two = places(joined, good)[2]
+            own = np.flatnonzero(good)
+            if not len(own):
+                continue
+            text = text[own]
+            first = np.concatenate(([True], text[1:] != text[:-1]))
+            # a token after a boundary has the boundary's empty line before it, but for the first of a text
+            lead = pc.if_else(pa.array(~two[own] & ~first), "\n", "")
+            line = pc.binary_join_element_wise(lead, words.dictionary.take(words.indices.take(pa.array(own))), "")
+            starts = np.flatnonzero(first)
+            lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int64()), line)
+            yield pa.record_batch([batch.column("corpus").take(pa.array(text[starts])), pc.binary_join(lists, "\n").cast(pa.string())], schema=schema)
+
+    return run
+
+
+def lines(texts: DataFrame, script: Script) -> DataFrame:
+    """(corpus, t) of texts (corpus, text) with a valid token: these, one a line, and an empty line for one boundary or more between two."""
+    small_batches(texts.sparkSession)
+    return texts.select("corpus", F.lower("text").alias("text")).mapInArrow(liner(script), "corpus string, t string")
+
+
 def partitions(texts: DataFrame, sizes: int) -> int:
     """So many partitions that each holds about a million n-grams, by the bytes of all texts."""
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -527,7 +527,7 @@ def q_file_gram_freqs(s, d):
 def q_file_tokens(s, d):
     """Token files: the tokens of each corpus."""
     path = new_path(s, "tokens")
-    sinks.token_files(tokens(s, d), path)
+    sinks.text_tokens(corpus(s, d), LATIN, path)
     return s.read.text(path).filter("value <> ''").groupBy("corpus", F.col("value").alias("word")).agg(F.count("*").alias("cnt"))
 
 

@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Script
+from ..functions.tokens import with_boundaries
+from ..operators import batches
+
 
 def _parts(df: DataFrame, single: bool) -> DataFrame:
     return df.coalesce(1) if single else df
@@ -32,7 +36,18 @@ def gram_freqs(freqs: DataFrame, n: int, path: str, min_freq: float = 0.0) -> No
 def token_files(tokens: DataFrame, path: str) -> None:
     """One token a line, an empty line for each boundary and after each document; documents without tokens are left out."""
     lines = F.regexp_replace(F.regexp_replace(F.array_join("tokens", "\n", ""), r"\A\n+|\n+\z", ""), r"\n{3,}", "\n\n")
-    t = tokens.select("corpus", lines.alias("t")).filter("t <> ''")
+    _token_lines(tokens.select("corpus", lines.alias("t")).filter("t <> ''"), path)
+
+
+def text_tokens(texts: DataFrame, script: Script, path: str) -> None:
+    """token_files() of whole texts (corpus, text)."""
+    if batches.plain(script):
+        _token_lines(batches.lines(texts, script), path)
+    else:
+        token_files(texts.select("corpus", with_boundaries(F.col("text"), script).alias("tokens")), path)
+
+
+def _token_lines(t: DataFrame, path: str) -> None:
     t.select("corpus", F.concat("t", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("corpus").text(path)
 
 

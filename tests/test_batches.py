@@ -109,3 +109,18 @@ def test_other_scripts(spark):
     spaced = replace(LATIN, tokens=r"\S+")
     want = ngrams.counts(df.select("corpus", with_boundaries(F.col("text"), spaced).alias("tokens")))
     assert rows(ngrams.text_counts(df, spaced).select(*want.columns)) == rows(want)
+
+
+def test_token_lines_are_those_of_expressions(spark, texts, tmp_path):
+    from lexmill.sources import sinks
+
+    sinks.token_files(of_expressions(texts), str(tmp_path / "a"))
+    sinks.text_tokens(texts, LATIN, str(tmp_path / "b"))
+    # the lines of a corpus, in files of the order of partitions
+    read = lambda x: sorted((str(r.corpus), r.value) for r in spark.read.text(str(tmp_path / x), wholetext=True).collect())
+    assert len(read("a")) > 3 and read("a") == read("b")
+    assert summed_lines(["ab, ab cd", ",", "x ab", "ab x , cd,"]) == ["ab\n\nab\ncd", "ab", "ab\n\ncd"]
+
+
+def summed_lines(t):
+    return [r["t"] for b in batches.liner(LATIN)(iter([batch(t)])) for r in b.to_pylist()]
