@@ -54,10 +54,11 @@ def normalized_merged(grams: DataFrame, corpora: Sequence[str]) -> DataFrame:
     return grouped.select("n", *GRAM, total.alias("freq"))
 
 
-def words_of_gram() -> list:
-    """n, w1, w2 and w3 of a column gram, words joined by spaces."""
-    parts = F.split("gram", " ")
-    return [F.size(parts).alias("n"), *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(GRAM)]]
+def with_words(df: DataFrame) -> DataFrame:
+    """df with n, w1, w2 and w3 in place of its column gram, words joined by spaces."""
+    w = [F.nullif(F.split_part("gram", F.lit(" "), F.lit(i)), F.lit("")) for i in (1, 2, 3)]
+    cut_up = df.select(*[c.alias(k) for c, k in zip(w, GRAM, strict=True)], *[c for c in df.columns if c != "gram"])
+    return cut_up.withColumn("n", 1 + F.col("w2").isNotNull().cast("int") + F.col("w3").isNotNull().cast("int"))
 
 
 def listed(vocabulary: DataFrame, word: str = "word", limit: int = 2_000_000) -> list[str] | None:
@@ -78,7 +79,7 @@ def text_counts(texts: DataFrame, script: Script, sizes: Sequence[int] = (1, 2,
     found = batches.counted(texts, script, sizes, vocabulary=words)
     if words is None:
         found = found.repartition(batches.partitions(texts, len(sizes)), "gram")
-    return found.groupBy("corpus", "gram").agg(F.sum("cnt").alias("cnt")).select("corpus", *words_of_gram(), "cnt")
+    return with_words(found.groupBy("corpus", "gram").agg(F.sum("cnt").alias("cnt"))).select("corpus", "n", *GRAM, "cnt")
 
 
 def text_totals(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -90,9 +91,18 @@ def wide_totals(counted: DataFrame, corpora: Sequence[str]) -> DataFrame:
     return cut(counted.filter("gram is null").groupBy("n").agg(*[F.sum(F.when(F.col("corpus") == c, F.col("cnt")).otherwise(0)).alias(f"t{i}") for i, c in enumerate(corpora)]), "totals")
 
 
-def wide(counted: DataFrame, corpora: Sequence[str]) -> DataFrame:
-    """wide_counts() of rows (corpus, gram, cnt)."""
-    return counted.groupBy("gram").agg(*[F.sum(F.when(F.col("corpus") == c, F.col("cnt")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(corpora)])
+def wide(counted: DataFrame, corpora: Sequence[str], parts: int = 0) -> DataFrame:
+    """wide_counts() of rows (corpus, gram, cnt), dealt out to so many partitions, if given. Rows for the shuffle hold an n-gram and one number, of
+    its count and its corpus."""
+    size = len(corpora)
+    number = F.when(F.col("corpus") == corpora[0], 0)
+    for i, c in enumerate(corpora[1:], 1):
+        number = number.when(F.col("corpus") == c, i)
+    rows = counted.select("gram", (F.col("cnt") * size + number).alias("of")).filter("of is not null")
+    if parts:
+        rows = rows.repartition(parts, "gram")
+    of, whole = F.pmod(F.col("of"), F.lit(size)), F.expr(f"of div {size}")
+    return rows.groupBy("gram").agg(*[F.sum(F.when(of == i, whole).otherwise(0)).alias(f"c{i}") for i in range(size)])
 
 
 def text_measured(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3), count_min: int = 2) -> DataFrame:
@@ -100,9 +110,17 @@ def text_measured(texts: DataFrame, script: Script, corpora: Sequence[str], size
     if not batches.plain(script):
         tokens = texts.select("corpus", with_boundaries(F.col("text"), script).alias("tokens"))
         return measured(cut(wide_counts(tokens, corpora, sizes), "grams"), corpora, count_min)
-    found = wide(batches.counted(texts, script, sizes).repartition(batches.partitions(texts, len(sizes)), "gram"), corpora)
-    own = [f"c{i}" for i in range(len(corpora))]
-    return measured(found.select(*words_of_gram(), *own), corpora, count_min, text_totals(texts, script, corpora, sizes))
+    found = wide(batches.counted(texts, script, sizes), corpora, batches.partitions(texts, len(sizes)))
+    return measured(with_words(found), corpora, count_min, text_totals(texts, script, corpora, sizes))
+
+
+def text_raw(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3), min_count: int = 2) -> DataFrame:
+    """(n, w1, w2, w3, cnt) of whole texts over the given corpora, counted min_count times or more. Others are left out before words are cut up."""
+    if not batches.plain(script):
+        return text_measured(texts, script, corpora, sizes).filter(F.col("cnt") >= min_count).select("n", *GRAM, "cnt")
+    rows = batches.counted(texts, script, sizes).filter(F.col("corpus").isin(*corpora)).select("gram", "cnt")
+    found = rows.repartition(batches.partitions(texts, len(sizes)), "gram").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
+    return with_words(found.filter(F.col("cnt") >= min_count)).select("n", *GRAM, "cnt")
 
 
 def text_model(texts: DataFrame, script: Script, corpora: Sequence[str], most: int, min_count: int, inside: DataFrame | None = None, min_sources: int = 2, min_frequency: float = 5e-6) -> tuple[DataFrame, DataFrame]:
@@ -118,14 +136,14 @@ def text_model(texts: DataFrame, script: Script, corpora: Sequence[str], most: i
     own = [f"c{i}" for i in range(len(corpora))]
     first = cut(batches.counted(texts, script, (1,), range(1, most + 1)).groupBy("corpus", "n", "gram").agg(F.sum("cnt").alias("cnt")), "counted")
     totals = wide_totals(first, corpora)
-    uni = measured(wide(first.filter("gram is not null"), corpora).select(*words_of_gram(), *own), corpora, 2, totals)
+    uni = measured(with_words(wide(first.filter("gram is not null"), corpora)), corpora, 2, totals)
     valid = cut(uni.filter((F.col("n_sources") >= max(min_sources, 1)) & (F.col("freq") >= min_frequency)).select(F.col("w1").alias("word"), "n_sources", "freq", "cnt"), "valid")
     kept = valid.filter(F.col("cnt") >= min_count).select(F.lit(1).alias("n"), F.col("word").alias("w1"), *[F.lit(None).cast("string").alias(k) for k in GRAM[1:]], "cnt", "freq", "n_sources")
     if most > 1:
         words = [r[0] for r in (valid if inside is None else valid.join(inside.select("word").distinct(), "word", "left_semi")).select("word").toLocalIterator()]
-        found = wide(batches.counted(texts, script, range(2, most + 1), vocabulary=words).repartition(batches.partitions(texts, most - 1), "gram"), corpora)
+        found = wide(batches.counted(texts, script, range(2, most + 1), vocabulary=words), corpora, batches.partitions(texts, most - 1))
         frequent = found.filter(sum((F.col(c) for c in own), F.lit(0)) >= min_count)
-        kept = kept.unionByName(measured(frequent.select(*words_of_gram(), *own), corpora, 2, totals))
+        kept = kept.unionByName(measured(with_words(frequent), corpora, 2, totals))
     return valid.drop("cnt"), cut(kept, "kept")
 
 

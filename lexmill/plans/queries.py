@@ -143,7 +143,8 @@ def q_ngram3_counts(s, d):
 
 
 def q_ngram_raw_merged(s, d):
-    return measured(s, d).filter("cnt >= 2").select("n", *ngrams.GRAM, "cnt")
+    """From counts of n-grams in the corpora alone: neither totals nor frequencies are made."""
+    return ngrams.text_raw(corpus(s, d), LATIN, CORPORA).select("n", *ngrams.GRAM, "cnt")
 
 
 def q_ngram_norm_merged(s, d):
@@ -514,7 +515,7 @@ def q_source_words(s, d):
 def q_file_gram_counts(s, d):
     """Counts of bigrams, written as tab-separated lines and read again."""
     path = new_path(s, "grams")
-    sinks.gram_counts(measured(s, d, (2,)), 2, path)
+    sinks.gram_counts(cut(ngrams.text_raw(corpus(s, d), LATIN, CORPORA, (2,)), "grams"), 2, path)
     return readers.grams(s, path).select(F.get("gram", F.lit(0)).alias("w1"), F.get("gram", F.lit(1)).alias("w2"), F.col("value").cast("long").alias("cnt"))
 
 

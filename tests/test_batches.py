@@ -124,3 +124,8 @@ def test_token_lines_are_those_of_expressions(spark, texts, tmp_path):
 
 def summed_lines(t):
     return [r["t"] for b in batches.liner(LATIN)(iter([batch(t)])) for r in b.to_pylist()]
+
+
+def test_raw_counts_of_texts(texts):
+    want = ngrams.measured(ngrams.wide_counts(of_expressions(texts), CORPORA), CORPORA).filter("cnt >= 2").select("n", "w1", "w2", "w3", "cnt")
+    assert rows(ngrams.text_raw(texts, LATIN, CORPORA)) == rows(want)
