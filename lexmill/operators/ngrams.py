@@ -56,9 +56,9 @@ def normalized_merged(grams: DataFrame, corpora: Sequence[str]) -> DataFrame:
 
 def with_words(df: DataFrame) -> DataFrame:
     """df with n, w1, w2 and w3 in place of its column gram, words joined by spaces."""
-    w = [F.nullif(F.split_part("gram", F.lit(" "), F.lit(i)), F.lit("")) for i in (1, 2, 3)]
-    cut_up = df.select(*[c.alias(k) for c, k in zip(w, GRAM, strict=True)], *[c for c in df.columns if c != "gram"])
-    return cut_up.withColumn("n", 1 + F.col("w2").isNotNull().cast("int") + F.col("w3").isNotNull().cast("int"))
+    rest = [c for c in df.columns if c != "gram"]
+    cut_up = df.select(F.split("gram", " ").alias("_w"), *rest)
+    return cut_up.select(F.size("_w").alias("n"), *[F.get("_w", F.lit(i)).alias(k) for i, k in enumerate(GRAM)], *rest)
 
 
 def listed(vocabulary: DataFrame, word: str = "word", limit: int = 2_000_000) -> list[str] | None:
@@ -105,13 +105,13 @@ def wide(counted: DataFrame, corpora: Sequence[str], parts: int = 0) -> DataFram
     return rows.groupBy("gram").agg(*[F.sum(F.when(of == i, whole).otherwise(0)).alias(f"c{i}") for i in range(size)])
 
 
-def text_measured(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3), count_min: int = 2) -> DataFrame:
+def text_measured(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3), count_min: int = 2, digits: int | None = None) -> DataFrame:
     """measured() of whole texts. Totals come from a pass of their own, so that n-grams are shuffled once and not stored."""
     if not batches.plain(script):
         tokens = texts.select("corpus", with_boundaries(F.col("text"), script).alias("tokens"))
-        return measured(cut(wide_counts(tokens, corpora, sizes), "grams"), corpora, count_min)
+        return measured(cut(wide_counts(tokens, corpora, sizes), "grams"), corpora, count_min, digits=digits)
     found = wide(batches.counted(texts, script, sizes), corpora, batches.partitions(texts, len(sizes)))
-    return measured(with_words(found), corpora, count_min, text_totals(texts, script, corpora, sizes))
+    return measured(with_words(found), corpora, count_min, text_totals(texts, script, corpora, sizes), digits)
 
 
 def text_raw(texts: DataFrame, script: Script, corpora: Sequence[str], sizes: Sequence[int] = (1, 2, 3), min_count: int = 2) -> DataFrame:
@@ -152,10 +152,11 @@ def wide_counts(tokens: DataFrame, corpora: Sequence[str], sizes: Sequence[int]
     return explode_grams(tokens, sizes).groupBy("n", *GRAM).agg(*[F.count_if(F.col("corpus") == c).alias(f"c{i}") for i, c in enumerate(corpora)])
 
 
-def measured(wide: DataFrame, corpora: Sequence[str], count_min: int = 2, totals: DataFrame | None = None) -> DataFrame:
+def measured(wide: DataFrame, corpora: Sequence[str], count_min: int = 2, totals: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(n, w1, w2, w3, cnt, freq, n_sources) of wide counts, without a shuffle: the sum of counts, the mean over corpora of shares of the
     corpus's n-grams of the same size, and the number of corpora that count an n-gram count_min times or more. Without totals (n, t0, t1, ...)
-    these are summed from the wide counts, which should be stored then."""
+    these are summed from the wide counts, which should be stored then. With digits, frequencies are rounded; those of n-grams that occur once,
+    the most by far, are rounded once for each size and corpus, as rounding takes longer than all else of a row."""
     every = range(len(corpora))
     if totals is None:
         totals = wide.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in every])  # a row for each size
@@ -165,6 +166,10 @@ def measured(wide: DataFrame, corpora: Sequence[str], count_min: int = 2, totals
         cnt = cnt + F.col(f"c{i}")
         freq = freq + F.coalesce(F.try_divide(F.col(f"c{i}").cast("double"), F.col(f"t{i}").cast("double")), F.lit(0.0)) * F.lit(w[corpora[i]])
         n_sources = n_sources + (F.col(f"c{i}") >= count_min).cast("long")
+    if digits is not None:
+        totals = totals.select("*", *[F.round(F.coalesce(F.try_divide(F.lit(1.0), F.col(f"t{i}").cast("double")), F.lit(0.0)) * F.lit(w[c]), digits).alias(f"h{i}") for i, c in enumerate(corpora)])
+        once = F.coalesce(*[F.when(F.col(f"c{i}") == 1, F.col(f"h{i}")) for i in every])
+        freq = F.when(cnt == 1, once).otherwise(F.round(freq, digits))
     found = wide.join(F.broadcast(totals), "n").select("n", *GRAM, cnt.alias("cnt"), freq.alias("freq"), n_sources.alias("n_sources"))
     return found.filter("cnt > 0")
 

@@ -39,9 +39,9 @@ def merged(spark: SparkSession, sf_dir: str, weights: dict | None = None) -> Dat
     return cut(frequency.merged(frequency.normalized(cut(counts(spark, sf_dir), "counts")), CORPORA, weights), "merged")
 
 
-def measured(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def measured(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3), digits: int | None = None) -> DataFrame:
     """All n-grams with their counts, frequencies and sources, from one shuffle."""
-    return ngrams.text_measured(corpus(spark, sf_dir), LATIN, CORPORA, sizes)
+    return ngrams.text_measured(corpus(spark, sf_dir), LATIN, CORPORA, sizes, digits=digits)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def q_ngram_raw_merged(s, d):
 
 
 def q_ngram_norm_merged(s, d):
-    return measured(s, d).select("n", *ngrams.GRAM, F.round("freq", 12).alias("freq"))
+    return measured(s, d, digits=12).select("n", *ngrams.GRAM, "freq")
 
 
 def q_ngrams_vocab_filtered(s, d):

@@ -129,3 +129,8 @@ def summed_lines(t):
 def test_raw_counts_of_texts(texts):
     want = ngrams.measured(ngrams.wide_counts(of_expressions(texts), CORPORA), CORPORA).filter("cnt >= 2").select("n", "w1", "w2", "w3", "cnt")
     assert rows(ngrams.text_raw(texts, LATIN, CORPORA)) == rows(want)
+
+
+def test_rounded_frequencies_are_those_of_expressions(texts):
+    want = ngrams.measured(ngrams.wide_counts(of_expressions(texts), CORPORA), CORPORA).withColumn("freq", F.round("freq", 4))
+    assert want.filter("cnt = 1").count() > 0 and rows(ngrams.text_measured(texts, LATIN, CORPORA, digits=4).select(*want.columns)) == rows(want)
